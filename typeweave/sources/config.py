@@ -11,6 +11,7 @@ from pathlib import Path
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from typeweave.functions.names import Rules
 from typeweave.functions.prims import BYTE_SIZE
@@ -99,7 +100,7 @@ def read_listing(spark: SparkSession, listing: Listing) -> DataFrame:
     return whole.select(F.posexplode(F.split("value", "\r?\n")).alias("line_no", "value")).withColumn("line_no", F.col("line_no").cast("long"))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def arguments(commands: pd.Series) -> pd.Series:
     """The arguments of shell commands, without the compiler; null if the shell couldn't split it."""
 
