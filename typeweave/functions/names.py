@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import itertools
+import json
 import re
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 SEG = "struct<k:string,goff:bigint,s:string,linkage:boolean>"
 
@@ -412,3 +415,40 @@ def parse_name(text: str) -> Name:
     if reader.peek() is not None:
         raise BadName(f"cannot read on at {reader.peek()}")
     return out
+
+
+def to_json(name: Name) -> str:
+    """A canonical text of a name; equal names have equal texts."""
+    return json.dumps(_plain(name), separators=(",", ":"), ensure_ascii=False)
+
+
+def _plain(x: object) -> object:
+    if isinstance(x, Name):
+        return {"path": _plain(x.path), "base": x.base, "args": _plain(x.args)}
+    return [_plain(y) for y in x] if isinstance(x, tuple | list) else x
+
+
+def from_json(text: str) -> Name:
+    def name(d: dict) -> Name:
+        return Name(tuple(tuple(s) for s in d["path"]), d["base"], tuple(arg(a) for a in d["args"]))
+
+    def arg(a: list) -> tuple[str, object]:
+        kind, value = a
+        return (kind, tuple((op, name(leaf) if isinstance(leaf, dict) else leaf, n) for op, leaf, n in value) if kind == "type" else value)
+
+    return name(json.loads(text))
+
+
+def parsed_names(names: Column) -> Column:
+    """struct(json, error) of a column of type names: the canonical text, or why there is none."""
+    return F.pandas_udf(_parsed, StructType([StructField("json", StringType()), StructField("error", StringType())]))(names)
+
+
+def _parsed(values: pd.Series) -> pd.DataFrame:
+    rows = []
+    for x in values:
+        try:
+            rows.append((None if x is None else to_json(parse_name(x)), None))
+        except BadName as e:
+            rows.append((None, str(e)))
+    return pd.DataFrame(rows, columns=["json", "error"])

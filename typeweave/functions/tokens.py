@@ -128,3 +128,19 @@ def splice(df: DataFrame, tree: str, replacements: DataFrame, *, key: str, ref:
 
 def numbered(df: DataFrame, *order: str, name: str = "ord") -> DataFrame:
     return df.withColumn(name, F.row_number().over(Window.orderBy(*order)) - 1)
+
+
+def complexity(tree: Column) -> Column:
+    """Nesting depth along the first child; member pointers add two.
+
+    In postfix order a token is above the first leaf exactly if it takes the
+    whole stack.
+    """
+
+    def step(state: Column, t: Column) -> Column:
+        arity = F.when(t["op"] == "base", 0).when(t["op"].isin("sub", "ptmf"), t["n"]).otherwise(1)
+        above = (t["op"] != "base") & (state["held"] == arity)
+        weight = F.when(t["op"].isin("ptmd", "ptmf"), 2).otherwise(1)
+        return F.struct((state["held"] - arity + 1).alias("held"), (state["depth"] + F.when(above, weight).otherwise(0)).alias("depth"))
+
+    return F.aggregate(tree, F.struct(F.lit(0).alias("held"), F.lit(0).alias("depth")), step, lambda s: s["depth"])

@@ -7,10 +7,11 @@ import subprocess
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from typeweave.functions.names import variant_positions
+from typeweave.sources.caches import cached
 
 MAX_ADDRESS = 0xFFFFFFFF
 
@@ -65,9 +66,9 @@ def demangled(df: DataFrame, column: str, out: str = "demangled", tool: str | No
     return df.withColumn(out, run(F.col(column)))
 
 
-def with_digit(symbol: Column, place: Column, digit: str) -> Column:
-    """The symbol with the character at a zero-based place replaced."""
-    return F.concat(F.substring(symbol, F.lit(1), place), F.lit(digit), F.substring(symbol, place + 2, F.lit(1 << 20)))
+def demangled_by_cache(listing: DataFrame, path: str) -> DataFrame:
+    """(symbol, demangled): known symbols from a cache at `path`, others read now and kept there."""
+    return cached(listing.select("symbol").distinct(), "symbol", path, "symbol string, demangled string", lambda df: demangled(df, "symbol"))
 
 
 def variants(listing: DataFrame, demangle: Callable[[DataFrame, str, str], DataFrame] = demangled) -> DataFrame:

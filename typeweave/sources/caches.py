@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,10 +28,6 @@ def cached(keys: DataFrame, key: str, path: str, schema: str, compute: Callable[
     return keys.select(key).distinct().join(read_cache(keys.sparkSession, path, schema), key)
 
 
-def batch_id() -> str:
-    return uuid.uuid4().hex
-
-
 def type_documents(types: DataFrame) -> DataFrame:
     """(goff, document): a YAML document of each struct, union and enumeration, members in order.
 

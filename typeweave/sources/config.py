@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import shlex
+import subprocess
 import tomllib
 from dataclasses import dataclass, field
 from pathlib import Path
@@ -136,6 +137,13 @@ def parser_arguments(args: list[str], *, source: str, output: str, depend: str)
     return [*out, "-MD", "-MF", depend, "-o", output, source]
 
 
+def run_build(command: list[str], folder: str | Path) -> None:
+    """Run a build command in its folder, on the driver; failure is an error. Nothing runs it unasked."""
+    done = subprocess.run(command, cwd=folder, capture_output=True, text=True)
+    if done.returncode:
+        raise ConfigError(f"build failed with {done.returncode}: {done.stderr[-500:]}")
+
+
 def join_units(units: DataFrame, commands: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(units (cu_offset, cu_name) with arguments, audit rows of units without a command)."""
     known = commands.select(F.col("file").alias("f"), "arguments")
