@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+_SCRATCH: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,6 +25,19 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[key]
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """A folder for this application's tables in the shared folder; it goes when the driver's JVM ends."""
+    context = spark.sparkContext
+    path = f"{shared_dir(spark)}/typeweave-{context.applicationId}"
+    if path not in _SCRATCH:
+        folder = context._jvm.org.apache.hadoop.fs.Path(path)
+        files = folder.getFileSystem(context._jsc.hadoopConfiguration())
+        files.mkdirs(folder)
+        files.deleteOnExit(folder)
+        _SCRATCH.add(path)
+    return path
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage through the shared folder, so that a lost executor costs no earlier round."""
     shared_dir(df.sparkSession)
@@ -32,7 +46,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """As `checkpointed`, but columnar and compressed: for tables that later steps read in part."""
-    path = f"{shared_dir(df.sparkSession)}/typeweave/{uuid.uuid4().hex}-{name}"
+    path = f"{scratch_dir(df.sparkSession)}/{uuid.uuid4().hex}-{name}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
