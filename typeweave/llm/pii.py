@@ -28,7 +28,7 @@ SYLLABLES = {
 GIVEN_ENDINGS = {"latin": ("n", "na", "l"), "cyrillic": ("н", "на", "ль"), "greek": ("ς", "α", "ι")}
 
 _TITLES = "|".join(MALE + FEMALE + NEUTRAL)
-_WORD = r"\p{Lu}[\p{L}'’-]*+"
+_WORD, _NEXT = r"\p{Lu}[\p{L}'’-]*+", r" (?:\p{Lu}[\p{Ll}'’-]++|\p{Lu}{3,}+(?![\p{L}-]))"
 _MAIL = r"\p{L}\p{N}._%+-"
 _ASSIGNED = r"(?i:password|passwd|pwd|token|secret|api[_-]?key)[\x20\t]{0,3}[=:][\x20\t]{0,3}[\"']?"
 #: In order of precedence.
@@ -43,7 +43,7 @@ PATTERNS = [
     r"(?<![0-9A-Za-z])\+[0-9]{1,3}(?:[ .-]?\(?[0-9]{2,4}\)?){2,5}(?![0-9A-Za-z])",
     r"(?<![0-9A-Za-z])\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])",
     r"(?<![0-9A-Za-z-])[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z-])",
-    rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLES})\.? {_WORD}(?: {_WORD}){{0,2}}",
+    rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLES})\.? {_WORD}(?:{_NEXT}){{0,2}}",
 ]
 ENTITY = "|".join(PATTERNS)
 #: A cheap necessary condition for an entity.
@@ -187,34 +187,39 @@ def _name_word(key: str, word: Column, role: Column, attempt: Column) -> Column:
 
 def surrogate(key: str, kind: Column, x: Column, attempt: Column) -> Column:
     """The replacement of entity x: same type and format, the same for equal canonical forms."""
-    canon = canonical(kind, x)
-    s = _stream(key, kind, canon, attempt)
+    return _let(kind, lambda k: _let(_stream(key, k, canonical(k, x), attempt), lambda s: _surrogate(key, k, x, s, attempt)))
+
+
+def _surrogate(key: str, kind: Column, x: Column, s: Column, attempt: Column) -> Column:
     user, domain = F.substring_index(x, "@", 1), F.lower(F.substring_index(x, "@", -1))
-    labels = F.slice(F.split(domain, r"\."), 1, F.size(F.split(domain, r"\.")) - 1)
-    email = F.concat(_chars(user, s), F.lit("@"), _chars(F.array_join(labels, "."), _stream(key, F.lit("domain"), domain)), F.lit(".example"))
-    ip = _let(s, lambda v: F.array_join(F.transform(F.array(*map(F.lit, range(1, 5))), lambda i: (_byte(v, i) % 254 + 1).cast("string")), "."))
-    label, value = F.regexp_extract(x, "^" + _ASSIGNED, 0), F.regexp_replace(x, "^" + _ASSIGNED, "")
+    labels = F.substring(domain, F.lit(1), F.length(domain) - F.length(F.substring_index(domain, ".", -1)) - 1)
+    email = F.concat(_chars(user, s), F.lit("@"), _chars(labels, _stream(key, F.lit("domain"), domain)), F.lit(".example"))
+    ip = F.array_join(F.transform(F.array(*map(F.lit, range(1, 5))), lambda i: (_byte(s, i) % 254 + 1).cast("string")), ".")
+    label = F.regexp_extract(x, "^" + _ASSIGNED, 0)
+    prefix = F.when(x.rlike("^(?:AKIA|ASIA|sk-|gh[pousr]_)"), F.substring(x, 1, 4)).otherwise(label)
     hexed = lambda v: F.substring(F.repeat(s, 8), F.lit(1), F.length(v))
-    secret = F.concat(label, F.when(value.rlike("^[0-9a-f]{1,1024}$"), hexed(value)).otherwise(_chars(value, s)))
-    opaque = F.when(x.rlike("^[0-9]*[a-f][0-9a-f]{1,1023}$"), hexed(x)).when(x.rlike("^(?:AKIA|ASIA|sk-|gh[pousr]_)"), F.concat(F.substring(x, 1, 4), _chars(F.substring(x, 5, 4000), s))).otherwise(_chars(x, s))
+    opaque = lambda v: F.when(v.rlike("^[0-9a-f]{1,1024}$"), hexed(v)).otherwise(_chars(v, s))
+    hidden = F.concat(prefix, _let(F.substring(x, F.length(prefix) + 1, F.length(x)), opaque))
     title, name = _named(x)
-    bare = F.regexp_replace(title, r"\.? $", "")
-    gender = F.when(bare.isin(*MALE), "male").when(bare.isin(*FEMALE), "female").otherwise("neutral")
-    names = F.split(name, " ")
-    swapped = F.transform(names, lambda w, i: _name_word(key, w, F.when(i == F.size(names) - 1, F.lit("family")).otherwise(gender), attempt))
+    names = _let(F.split(name, " "), lambda words: F.transform(words, lambda w, i: _name_word(key, w, F.when(i == F.size(words) - 1, F.lit("family")).otherwise(_gender(title)), attempt)))
+    country = F.length(F.regexp_replace(F.regexp_extract(x, r"^\+[0-9]{1,3}(?=[ .(-])", 0), "[^0-9]", ""))
     return (
-        F.when(kind == "secret", secret)
+        F.when(kind.isin("secret", "key"), hidden)
         .when(kind == "email", email)
-        .when(kind == "key", opaque)
         .when(kind == "iban", _iban(x, s))
         .when(kind == "ip", ip)
         .when(kind == "card", _card(x, s))
         .when(kind == "ssn", _digits(x, s, F.lit(0)))
-        .when(kind == "phone", _digits(x, s, F.length(F.regexp_replace(F.regexp_extract(x, r"^\+[0-9]{1,3}(?=[ .(-])", 0), "[^0-9]", ""))))
-        .otherwise(F.concat(title, F.array_join(swapped, " ")))
+        .when(kind == "phone", _digits(x, s, country))
+        .otherwise(F.concat(title, F.array_join(names, " ")))
     )
 
 
+def _gender(title: Column) -> Column:
+    bare = F.regexp_replace(title, r"\.? $", "")
+    return F.when(bare.isin(*MALE), "male").when(bare.isin(*FEMALE), "female").otherwise("neutral")
+
+
 def entities(text: Column) -> Column:
     """The entities of a text in their order; none for most texts, found by the cheap condition."""
     return F.when(text.rlike(MAYBE), F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0)))
@@ -266,11 +271,19 @@ def replace_entities(docs: DataFrame, *, key: str, text: str = "text", map_limit
         def tries(kind: Column, x: Column) -> Column:
             return F.coalesce(F.element_at(table, F.concat_ws("|", kind, canonical(kind, x))), F.lit(0)) if again else F.lit(0)
 
-        swapped = F.transform(hits, lambda x: surrogate(key, kind_of(x), x, tries(kind_of(x), x)))
-        return docs.withColumn(text, _joined(F.col(text), hits, swapped))
+        own = _own_name("hits", docs.columns)
+        swapped = F.transform(own, lambda x: _let(kind_of(x), lambda k: surrogate(key, k, x, tries(k, x))))
+        return docs.withColumn(own, hits).withColumn(text, _joined(F.col(text), F.col(own), swapped)).select(docs.columns)
     return _replaced_by_join(docs, moved, key, text)
 
 
+def _own_name(name: str, taken: list[str]) -> str:
+    """A column name that is free."""
+    while name.lower() in {t.lower() for t in taken}:
+        name += "_"
+    return name
+
+
 def _joined(text: Column, hits: Column, swapped: Column) -> Column:
     pieces = F.split(text, ENTITY, -1)
     return F.when(F.size(hits) > 0, F.array_join(F.zip_with(pieces, swapped, lambda p, s: F.concat(p, F.coalesce(s, F.lit("")))), "")).otherwise(text)
@@ -278,9 +291,7 @@ def _joined(text: Column, hits: Column, swapped: Column) -> Column:
 
 def _replaced_by_join(docs: DataFrame, moved: DataFrame, key: str, text: str) -> DataFrame:
     """For crowded formats, where many entities need another attempt: attempts come by a join instead of a map."""
-    own = "row_id"
-    while own in docs.columns:
-        own += "_"
+    own = _own_name("row_id", docs.columns)
     kept = written(docs.withColumn(own, F.monotonically_increasing_id()), "texts")
     hit = kept.select(own, F.posexplode(entities(F.col(text))).alias("pos", "x")).withColumn("kind", kind_of(F.col("x")))
     hit = hit.withColumn("canon", canonical(F.col("kind"), F.col("x"))).join(moved, ["kind", "canon"])
