@@ -20,13 +20,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each near-duplicate group the document with the smallest doc_id."""
     groups = simhash.near_duplicates(docs)
-    others = groups.where("doc_id <> component_id").select("doc_id").distinct()
+    others = written(groups.where("doc_id <> component_id").select("doc_id").distinct(), "copies")  # its size then decides how it is joined
     return docs.join(others, "doc_id", "left_anti").select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain no benchmark item."""
-    found = decontam.contained_items(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    found = written(decontam.contained_items(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "contaminated")
     return docs.join(found, "doc_id", "left_anti").select(docs.columns)
 
 
