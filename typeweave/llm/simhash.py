@@ -66,7 +66,7 @@ def fingerprints(docs: DataFrame, *, text: str = "text", key: str = "doc_id", sh
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([_fingerprint(x, shingle) for x in batch.column(1).to_pylist()], dtype=np.uint64)
+            found = np.array([_fingerprint(x.as_py(), shingle) for x in batch.column(1)], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
