@@ -54,7 +54,7 @@ MAP_LIMIT = 1000
 
 def kind_of(x: Column) -> Column:
     return (
-        F.when(x.rlike("^" + _ASSIGNED), "secret")
+        F.when(x.rlike("^" + _ASSIGNED), "key")
         .when(x.contains("@"), "email")
         .when(x.rlike(r"^(?:AKIA|ASIA|gh[pousr]_|sk-)|^(?=[0-9]*[a-f])[0-9a-f]{16,}$|^[0-9]{20,}$"), "key")
         .when(x.rlike("^[A-Z]{2}[0-9]{2}"), "iban")
@@ -77,7 +77,7 @@ def canonical(kind: Column, x: Column) -> Column:
         F.when(kind.isin("ssn", "card", "phone"), F.regexp_replace(x, "[^0-9]", ""))
         .when(kind == "iban", F.regexp_replace(x, " ", ""))
         .when(kind == "email", F.lower(x))
-        .when(kind == "secret", F.regexp_replace(x, "^" + _ASSIGNED, ""))
+        .when(kind == "key", F.regexp_replace(x, "^" + _ASSIGNED, ""))
         .when(kind == "name", _named(x)[1])
         .otherwise(x)
     )
@@ -105,8 +105,8 @@ def _chars(x: Column, stream: Column) -> Column:
         c, b = F.substring(x, i, F.lit(1)), _byte(s, i)
         return (
             F.when(c.rlike("[0-9]"), F.char(48 + (F.ascii(c) - 48 + b) % 10))
-            .when(c.rlike(r"\p{Lu}"), F.char(65 + (F.ascii(c) + b) % 26))
-            .when(c.rlike(r"\p{L}"), F.char(97 + (F.ascii(c) + b) % 26))
+            .when(c.rlike(r"\p{Lu}"), F.char(65 + (F.ascii(c) - 65 + b) % 26))
+            .when(c.rlike(r"\p{L}"), F.char(97 + F.pmod(F.ascii(c) - 97 + b, F.lit(26))))
             .otherwise(c)
         )
 
@@ -195,16 +195,15 @@ def _surrogate(key: str, kind: Column, x: Column, s: Column, attempt: Column) ->
     labels = F.substring(domain, F.lit(1), F.length(domain) - F.length(F.substring_index(domain, ".", -1)) - 1)
     email = F.concat(_chars(user, s), F.lit("@"), _chars(labels, _stream(key, F.lit("domain"), domain)), F.lit(".example"))
     ip = F.array_join(F.transform(F.array(*map(F.lit, range(1, 5))), lambda i: (_byte(s, i) % 254 + 1).cast("string")), ".")
-    label = F.regexp_extract(x, "^" + _ASSIGNED, 0)
-    prefix = F.when(x.rlike("^(?:AKIA|ASIA|sk-|gh[pousr]_)"), F.substring(x, 1, 4)).otherwise(label)
+    head = F.regexp_extract(x, rf"^(?:{_ASSIGNED})?(?:AKIA|ASIA|sk-|gh[pousr]_)?", 0)
     hexed = lambda v: F.substring(F.repeat(s, 8), F.lit(1), F.length(v))
     opaque = lambda v: F.when(v.rlike("^[0-9a-f]{1,1024}$"), hexed(v)).otherwise(_chars(v, s))
-    hidden = F.concat(prefix, _let(F.substring(x, F.length(prefix) + 1, F.length(x)), opaque))
+    hidden = F.concat(head, _let(F.substring(x, F.length(head) + 1, F.length(x)), opaque))
     title, name = _named(x)
     names = _let(F.split(name, " "), lambda words: F.transform(words, lambda w, i: _name_word(key, w, F.when(i == F.size(words) - 1, F.lit("family")).otherwise(_gender(title)), attempt)))
     country = F.length(F.regexp_replace(F.regexp_extract(x, r"^\+[0-9]{1,3}(?=[ .(-])", 0), "[^0-9]", ""))
     return (
-        F.when(kind.isin("secret", "key"), hidden)
+        F.when(kind == "key", hidden)
         .when(kind == "email", email)
         .when(kind == "iban", _iban(x, s))
         .when(kind == "ip", ip)
