@@ -34,7 +34,7 @@ LOOKS = {
 #: Labelled documents that models are fitted on, at most; candidates for the lexicon; its size.
 SAMPLE, CANDIDATES, LEXICON = 24_000, 50_000, 5_000
 #: Costs, in nats, of reading a sign as a letter, a letter-like sign as noise, another sign as noise, a repetition.
-AS_LETTER, AS_NOISE, AS_MARK, AS_REPEAT = 0.5, 6.0, 1.0, 0.5
+AS_LETTER, AS_NOISE, AS_MARK, AS_REPEAT = 0.5, 10.0, 1.0, 0.5
 _LETTERS = re.compile(r"[^\W\d_]+")
 _DISGUISED = re.compile(r"[^\W\d_][^\s\w]*[0-9@$!|+*€#%&_.-][^\s\w]*[^\W_]|^[0-9@$!|+*€]+[^\W\d_]|[^\W\d_][0-9@$!|+€]|([^\W\d_])\1\1")
 _SPACED = re.compile(r"(?<!\S)\S(?:\s\S){3,}(?!\S)")
@@ -97,7 +97,7 @@ class CharModel:
 
 def restore(token: str, model: CharModel | None) -> str:
     """A lower-case token as it was meant; at most 64 characters of it can be disguised as one word."""
-    bare = token.strip(_EDGE)
+    bare = token.strip(_EDGE).rstrip("!" + _EDGE)  # at the end, marks are more often marks than letters
     if model is None or len(bare) > 64 or not _DISGUISED.search(bare):
         return token
     return model.decode(bare)
@@ -249,9 +249,14 @@ def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "d
     first = {r["feature"]: r["n"] for r in often.orderBy(F.desc("n"), "feature").limit(CANDIDATES).collect()}
     wanted = docs.sparkSession.sparkContext.broadcast(frozenset(first))
     against = {r["feature"]: r["n"] for r in _counted(some.where("toxic = 0"), lambda x: every(x) & wanted.value, "feature").collect()}
-    ranked = []
+    ranked, most = [], Counter()
+    for f, a in first.items():
+        for k in (4, 5, 6):
+            most[f[:k] + "-"] = max(most[f[:k] + "-"], a * (not f.endswith("-")))
     for f, a in first.items():
         b, n = against.get(f, 0), n1 + n0
+        if f.endswith("-") and most[f] > a / 2:
+            continue  # a beginning that one word accounts for says no more than the word
         z = (a / n1 - b / n0) / math.sqrt((a + b) / n * (1 - (a + b) / n) * (1 / n1 + 1 / n0) + 1e-12)
         weight = math.log((a + 0.5) / (n1 + 1)) - math.log((b + 0.5) / (n0 + 1))
         if z >= 6 and weight >= 1:
