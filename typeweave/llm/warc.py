@@ -20,7 +20,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from typeweave.operators.fixpoint import checkpointed, shared_dir, written
+from typeweave.operators.fixpoint import checkpointed, scratch_dir, written
 
 #: Ranges closer than GAP are read at once, up to SPAN bytes.
 GAP, SPAN = 256 << 10, 8 << 20
@@ -165,5 +165,5 @@ def read_records(index: DataFrame, *, payload: bool = True) -> DataFrame:
 
 
 def archive_folder(df: DataFrame) -> str:
-    """A new folder for archives, in the folder that driver and executors share."""
-    return f"{shared_dir(df.sparkSession)}/typeweave/{uuid.uuid4().hex}-warc"
+    """A new folder for archives that last as long as the application, in the folder that driver and executors share."""
+    return f"{scratch_dir(df.sparkSession)}/{uuid.uuid4().hex}-warc"
