@@ -202,6 +202,7 @@ def test_whole_extraction(spark, die):
     assert got["_Z4walkPN3app4NodeEi"]["param_names"] == ["node", "a1"]
     assert got["_Z4walkPN3app4NodeEi"]["address"] == 0x1010
     assert [t["op"] for t in got["_Z5otherRN3app4NodeE"]["ty"]] == ["base", "base", "ptr", "sub"]
+    assert ("struct", "app::Box<u32, 4>") in types
     counts = {r["kind"]: r["n"] for r in done.counts().collect()}
     assert counts["struct_decl"] == 1 and counts["union"] == 1 and counts["enum"] == 1
     assert {r["rule"] for r in done.violations.collect()} <= {"types differ"}
@@ -263,3 +264,23 @@ def test_cache_computes_what_is_missing(spark, tmp_path):
         got = cached(df, "k", str(tmp_path / "cache"), "k string, v string", compute)
         assert sorted((r["k"], r["v"]) for r in got.collect()) == [(k, k.upper()) for k in keys]
     assert seen == [["a", "b"], ["c"]]
+
+
+def test_spellings_of_nested_templates(spark):
+    from typeweave.operators.spelling import spellings
+
+    tree = lambda ref, *ops: [("base", ref, None), *[(o, None, None) for o in ops]]
+    rows = [
+        (10, "Box", [("type", None, tree(1, "ptr")), ("const", 3, None)]),
+        (11, "Pair", [("type", None, tree(10)), ("type", None, tree(2))]),
+        (12, "Loop", [("type", None, tree(12))]),
+        (13, "Empty", []),
+    ]
+    schema = "goff long, base string, template_args array<struct<k:string,c:bigint,ty:array<struct<op:string,ref:bigint,n:int>>>>"
+    names = spark.createDataFrame([(1, "A"), (1, "B"), (2, "u8")], "goff long, name string")
+    found, audit = spellings(spark.createDataFrame(rows, schema), names)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r["goff"], set()).add(r["name"])
+    assert got == {10: {"Box<A*, 3>", "Box<B*, 3>"}, 11: {"Pair<Box<A*, 3>, u8>", "Pair<Box<B*, 3>, u8>"}}
+    assert audit.count() == 0

@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from typeweave.functions import tokens as T
-from typeweave.functions.names import contains_anonymous, cpp_source
-from typeweave.functions.prims import BYTE_SIZE
-from typeweave.operators import audit, flatten, gc, load, merge, namespace, resolve, symbols
+from typeweave.functions.names import contains_anonymous, cpp_source, untemplated
+from typeweave.functions.prims import BYTE_SIZE, is_prim
+from typeweave.operators import audit, flatten, gc, load, merge, namespace, resolve, spelling, symbols
 from typeweave.operators.fixpoint import checkpointed
 
 
@@ -84,12 +84,21 @@ def extract(die: DataFrame, listing: DataFrame, config: load.Config, *, strict:
     spaces = namespace.paths(die).select(F.col("goff").alias("g"), F.col("qualifier"))
     named = raw.where("name is not null and kind <> 'prim'").join(spaces, F.col("goff") == F.col("g"), "left")
     full = F.when(~contains_anonymous(F.coalesce("qualifier", F.array().cast("array<struct<k:string,goff:bigint,s:string,linkage:boolean>>"))), cpp_source(F.col("qualifier"), F.col("name")))
-    names = named.select("goff", "kind", full.alias("name")).where("name is not null")
+    names = named.select("goff", "kind", full.alias("name"), F.col("name").contains("<").alias("templated")).where("name is not null")
+
+    # a templated type is called by its arguments' names: those of primitives, of types, and of typedefs that end there
+    plain = names.where("not templated").select("goff", "name").unionByName(raw.where("kind = 'prim'").select("goff", "name"))
+    by_typedef = names.where("kind = 'typedef' and not templated").join(roots, "goff").select(F.col("primary").alias("goff"), "name")
+    lasting = types.select("goff").join(by_typedef.where(~is_prim(F.col("goff"))), "goff")
+    templated = names.where("templated and kind <> 'typedef'").select(F.col("goff").alias("g"), "kind", untemplated(F.col("name")).alias("base"))
+    templated = templated.join(types.select("goff", "template_args"), F.col("goff") == F.col("g")).where("template_args is not null")
+    spelled, too_many = spelling.spellings(templated, plain.unionByName(lasting))
+    names = names.where("not templated").drop("templated").unionByName(spelled.join(templated.select("goff", "kind"), "goff").select("goff", "kind", "name"))
     typedefs = names.where("kind = 'typedef'").join(roots, "goff").select(F.col("primary").alias("root"), "name")
     kinds = types.select(F.col("goff").alias("root"), "kind").where("kind <> 'prim'")
     other = typedefs.join(kinds, "root").select(F.col("root").alias("goff"), "kind", "name")
     every_name = checkpointed(names.where("kind <> 'typedef'").unionByName(other).distinct())
-    types = types.drop("name").join(names.where("kind <> 'typedef'").select(F.col("goff").alias("g"), "name"), F.col("goff") == F.col("g"), "left").drop("g")
+    types = types.drop("name").join(names.where("kind <> 'typedef'").groupBy(F.col("goff").alias("g")).agg(F.min("name").alias("name")), F.col("goff") == F.col("g"), "left").drop("g")
     types = checkpointed(merge.attach_typedef_names(types.withColumn("other_names", F.array().cast("array<string>")), typedefs))
 
     own = load.load_symbols(die, listing)
@@ -110,7 +119,7 @@ def extract(die: DataFrame, listing: DataFrame, config: load.Config, *, strict:
     edges = ids.join(to, F.col("goff") == F.col("old"), "left").select(F.coalesce("primary", "goff").alias("src"), "ref").join(to, F.col("ref") == F.col("old"), "left").select("src", F.coalesce("primary", "ref").alias("dst"))
     start = linked.select(F.explode(T.refs(F.col("ty"))).alias("r")).join(to, F.col("r") == F.col("old"), "left").select(F.coalesce("primary", "r").alias("goff"))
     kept = gc.sweep(whole, edges, start)
-    broken = audit.union(load.repeated_ids(raw), load.vtable_audit(die), load.void_parameter_audit(die), differ, symbol_audit)
+    broken = audit.union(load.repeated_ids(raw), load.vtable_audit(die), load.void_parameter_audit(die), differ, symbol_audit, too_many)
     if strict:
         audit.enforce(broken)
     return Extracted(checkpointed(kept), linked, broken)
