@@ -52,5 +52,25 @@ FROM ordered
 """
 
 
+# SHA-1 in base32: four bits a hexadecimal digit, five bits a letter.
+WARC = r"""
+WITH page AS (
+  SELECT page_id, coalesce(html, '') AS h FROM pages
+), digest AS (
+  SELECT *, sha1(h) AS hex, min(page_id) OVER (PARTITION BY h) AS first_id FROM page
+), bit AS (
+  SELECT *, array_to_string(list_transform(range(1, 41), lambda k:
+    substr('0000000100100011010001010110011110001001101010111100110111101111', (strpos('0123456789abcdef', hex[k]) - 1) * 4 + 1, 4)), '') AS bits
+  FROM digest
+)
+SELECT page_id, strlen(h)::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda g: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + bits[g * 5 + 1]::INT * 16
+    + bits[g * 5 + 2]::INT * 8 + bits[g * 5 + 3]::INT * 4 + bits[g * 5 + 4]::INT * 2 + bits[g * 5 + 5]::INT, 1)), '') AS payload_digest,
+  CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM bit
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": DECONTAMINATION, "op6_mixing": MIXING}
+    return {"op3_decontamination": DECONTAMINATION, "op6_mixing": MIXING, "op10_warc": WARC}
