@@ -38,7 +38,7 @@ START_SAMPLE, START_ROUNDS, PASSES = 1_500, 12, 2
 #: Added to every word's count, and the weight of the classes' own shares in each state's emissions.
 ADD, PRIOR = 0.1, 50.0
 #: Tokens that are recursed together; words that a task counts before it passes them on.
-CHUNK, HELD = 400_000, 300_000
+CHUNK, HELD = 200_000, 200_000
 #: The end of a text, as a word: no word is empty.
 END = b""
 
@@ -198,9 +198,10 @@ def _started(sequences: list[np.ndarray], shares: np.ndarray, states: int, round
     return model
 
 
-def _sequences(column: pa.Array, ranks: Ranks) -> tuple[list[list[bytes]], list[np.ndarray]]:
-    words = [[*words_of(x.as_py()), END] for x in column]
-    return words, [np.fromiter(map(ranks.__getitem__, w), np.int64, len(w)) for w in words]
+def _ranked(text: str | None, ranks: Ranks) -> tuple[list[bytes], np.ndarray]:
+    """The words of a text and its end, and their ranks."""
+    words = [*words_of(text), END]
+    return words, np.fromiter(map(ranks.__getitem__, words), np.int32, len(words))
 
 
 def _chunks(sequences: list[np.ndarray]) -> Iterator[list[int]]:
@@ -246,7 +247,7 @@ def fit(texts: DataFrame, counts: DataFrame, *, states: int = STATES, passes: in
     shares = (seen + ADD) / (seen + ADD).sum()
     total = texts.count()
     part = min(1.0, START_SAMPLE / max(total, 1))
-    few = texts.where(F.pmod(F.xxhash64("text", F.lit("start")), F.lit(1_000_000)) < int(part * 1_000_000)).limit(START_SAMPLE)
+    few = texts.sample(part, seed=7).limit(START_SAMPLE)
     ranks, classes = vocab.ranks(), vocab.classes()
     sample = [classes[[ranks[w] for w in [*words_of(r["text"])[:2000], END]]] for r in few.toLocalIterator()]
     hmm = _started(sample, shares, states, START_ROUNDS)
@@ -264,7 +265,7 @@ def _trained(texts: DataFrame, shared, hmm: Hmm, shares: np.ndarray) -> Hmm:
         ranks, classes = shared.value.ranks(), shared.value.classes()
         rows = np.zeros((CLASSES + 1 + states, states))
         for batch in batches:
-            _, found = _sequences(batch.column(0), ranks)
+            found = [_ranked(x.as_py(), ranks)[1] for x in batch.column(0)]
             for chunk in _chunks(found):
                 obs = classes[np.concatenate([found[i] for i in chunk])]
                 starts, moves, emits = model.value.expected(obs, np.array([len(found[i]) for i in chunk]))
@@ -291,7 +292,6 @@ def score_texts(docs: DataFrame, counts: DataFrame, model: Model, *, text: str =
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
     schema = "row long, doc_id long, n_tokens long, n_known long, frequent double, inside double, rare array<struct<word:binary,n:long>>"
-    pair = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
@@ -301,9 +301,16 @@ def score_texts(docs: DataFrame, counts: DataFrame, model: Model, *, text: str =
         inside = np.log10(own.totals)
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            words, found = _sequences(batch.column(1), ranks)
+            found, rare, times, offsets = [], [], [], [0]
+            for x in batch.column(1):
+                words, ids = _ranked(x.as_py(), ranks)
+                found.append(ids)
+                others = Counter(words[j] for j in np.flatnonzero(ids >= KNOWN))
+                rare += others.keys()
+                times += others.values()
+                offsets.append(len(rare))
             n = len(found)
-            known, frequent, score, rare = np.zeros(n, np.int64), np.zeros(n), np.zeros(n), [None] * n
+            known, frequent, score = np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
             for chunk in _chunks(found):
                 flat = np.concatenate([found[i] for i in chunk])
                 lengths = np.array([len(found[i]) for i in chunk])
@@ -314,10 +321,6 @@ def score_texts(docs: DataFrame, counts: DataFrame, model: Model, *, text: str =
                 known[chunk] = np.add.reduceat(common.astype(np.int64), begins)
                 frequent[chunk] = np.add.reduceat(logs[flat], begins)
                 score[chunk] = own.hmm.likelihoods(obs, lengths) / np.log(10) - np.add.reduceat(inside[obs], begins)
-                for i in chunk:
-                    others = np.flatnonzero(found[i] >= KNOWN)
-                    if len(others):
-                        rare[i] = [{"word": w, "n": k} for w, k in Counter(words[i][j] for j in others).items()]
             columns = [
                 pa.array(row + np.arange(n), pa.int64()),
                 batch.column(0),
@@ -325,7 +328,7 @@ def score_texts(docs: DataFrame, counts: DataFrame, model: Model, *, text: str =
                 pa.array(known),
                 pa.array(frequent),
                 pa.array(score),
-                pa.array(rare, pair),
+                pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(rare, pa.binary()), pa.array(times, pa.int64())], ["word", "n"])),
             ]
             row += n
             yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "n_tokens", "n_known", "frequent", "inside", "rare"])
