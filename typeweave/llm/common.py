@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,17 +24,6 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode().lower().split() if text else []
 
 
-def ragged(lengths: np.ndarray) -> Iterator[tuple[int, int]]:
-    """For sequences sorted by falling length: (t, how many of them have a position t)."""
-    if len(lengths) == 0:
-        return
-    alive = len(lengths)
-    for t in range(int(lengths[0])):
-        while lengths[alive - 1] <= t:
-            alive -= 1
-        yield t, alive
-
-
 def time_major(order: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Indices that bring flat sequences into time-major order, and where each time step begins.
 
