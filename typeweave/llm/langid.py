@@ -54,51 +54,75 @@ def _grams(word: str) -> list[str]:
 
 @dataclass
 class Model:
-    """Scores are log probabilities, relative to the mean over languages."""
+    """Scores are log probabilities, relative to the mean over languages; row 0 of the trigrams is for unknown ones."""
 
     langs: list[str]
     scripts: dict[str, np.ndarray]
-    words: dict[str, np.ndarray]
-    grams: dict[str, np.ndarray]
+    words: dict[str, int]
+    word_scores: np.ndarray
+    grams: dict[str, int]
+    gram_scores: np.ndarray
 
-    def score(self, raw: str) -> np.ndarray | None:
-        """What a raw token says for each language; None without a letter."""
-        script = script_of(raw)
-        if script is None:
-            return None
-        word = raw.strip(_STRIP).lower()
-        found = self.words.get(word)
-        if found is None:
-            none = np.zeros(len(self.langs), np.float32)
-            found = 0.5 * sum((self.grams.get(g, none) for g in _grams(word)), none)
-        found = np.clip(found, -MOST, MOST)
-        allowed = self.scripts.get(script)
-        return found if allowed is None or allowed.all() else np.where(allowed, found, -4 * MOST).astype(np.float32)
+    @property
+    def plain(self) -> set[str]:
+        """Scripts that all languages have."""
+        return {k for k, allowed in self.scripts.items() if allowed.all()}
 
 
 class _Scores(dict):
-    """Raw token -> row of a score matrix; row 0 is for tokens without letters."""
+    """Raw token -> row of a score matrix; row 0 is for tokens without letters.
+
+    New tokens only get a row; `rows_of` fills in the scores of many at once.
+    """
 
     def __init__(self, model: Model) -> None:
-        self.model = model
+        self.model, self.plain = model, model.plain
         self.reset()
 
     def reset(self) -> None:
         self.clear()
-        self.matrix = np.zeros((1 << 12, len(self.model.langs)), np.float32)
-        self.used = 1
+        self.matrix = np.zeros((1, len(self.model.langs)), np.float32)
+        self._fresh()
+
+    def _fresh(self) -> None:
+        self.added, self.known, self.unknown, self.flat, self.starts, self.masked = 0, [], [], [], [], []
 
     def __missing__(self, token: str) -> int:
-        found = self.model.score(token)
-        if found is None:
+        script = script_of(token)
+        if script is None:
             self[token] = 0
             return 0
-        if self.used == len(self.matrix):
-            self.matrix = np.concatenate([self.matrix, np.zeros_like(self.matrix)])
-        self.matrix[self.used] = found
-        self[token] = self.used
-        self.used += 1
-        return self.used - 1
+        row = self[token] = len(self.matrix) + self.added
+        self.added += 1
+        word = token.strip(_STRIP).lower()
+        place = self.model.words.get(word)
+        if place is not None:
+            self.known.append((row, place))
+        else:
+            get = self.model.grams.get
+            self.unknown.append(row)
+            self.starts.append(len(self.flat))
+            self.flat += [get(g, 0) for g in _grams(word)]
+        if script not in self.plain:
+            self.masked.append((row, script))
+        return row
+
+    def rows_of(self, rows: np.ndarray) -> np.ndarray:
+        if self.added:
+            self.matrix = np.concatenate([self.matrix, np.zeros((self.added, self.matrix.shape[1]), np.float32)])
+            if self.known:
+                at, place = np.array(self.known).T
+                self.matrix[at] = self.model.word_scores[place]
+            if self.unknown:
+                self.matrix[self.unknown] = 0.5 * np.add.reduceat(self.model.gram_scores[self.flat], self.starts)
+            new = self.matrix[-self.added :]
+            np.clip(new, -MOST, MOST, out=new)
+            for row, script in self.masked:
+                allowed = self.model.scripts.get(script)
+                if allowed is not None:
+                    self.matrix[row][~allowed] = -4 * MOST
+            self._fresh()
+        return self.matrix[rows]
 
 
 def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarray:
@@ -132,27 +156,31 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarr
     return states
 
 
-def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", bound: int = SAMPLE) -> Model:
-    """Fit on at most `bound` texts with a language, chosen by a hash of the text; equal texts are kept or left together.
+def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "doc_id", bound: int = SAMPLE) -> Model:
+    """Fit on about `bound` texts with a language at most, chosen by a hash of key and text.
 
     Counts of words and trigrams are kept for the commonest.  Without a labelled
     text the model knows no language.
     """
-    usable = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("lang is not null and text is not null")
+    usable = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(key, text).alias("h")).where("lang is not null and text is not null")
     total = usable.count()
     part = min(1.0, 0.95 * bound / max(total, 1))
-    some = usable.where(F.pmod(F.xxhash64("text", F.lit("lang")), F.lit(1_000_000)) < int(part * 1_000_000)).limit(bound)
+    some = usable.where(F.pmod("h", F.lit(1_000_000)) < int(part * 1_000_000)).select("text", "lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, Counter] = defaultdict(Counter)
 
         def out() -> Iterator[pa.RecordBatch]:
-            for lang, words in held.items():
-                grams: Counter[str] = Counter()
-                for w, k in words.items():
-                    for g in _grams(w):
-                        grams[g] += k
-                scripts = Counter(script_of(w) for w in words.elements())
+            for lang, raw in held.items():
+                words, grams, scripts = Counter(), Counter(), Counter()
+                for t, k in raw.items():
+                    w = t.strip(_STRIP).lower()
+                    script = script_of(w)
+                    if script:
+                        words[w] += k
+                        scripts[script] += k
+                        for g in _grams(w):
+                            grams[g] += k
                 for kind, counts in (("word", words), ("gram", grams), ("script", scripts)):
                     n = len(counts)
                     yield pa.RecordBatch.from_arrays([pa.array([kind] * n), pa.array([lang] * n), pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["kind", "lang", "item", "n"])
@@ -160,7 +188,7 @@ def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", bound: int =
 
         for batch in batches:
             for x, own in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                held[own].update(w for w in (t.strip(_STRIP).lower() for t in x.as_py().split()) if script_of(w))
+                held[own].update(x.as_py().split())
                 if sum(map(len, held.values())) > 100_000:
                     yield from out()
         yield from out()
@@ -169,21 +197,22 @@ def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", bound: int =
     totals = counts.groupBy("kind", "lang").agg(F.sum("n").alias("n")).collect()
     langs = sorted({r["lang"] for r in totals})
     if not langs:
-        return Model([], {}, {}, {})
+        return Model([], {}, {}, np.zeros((0, 0)), {}, np.zeros((1, 0)))
     place = {x: i for i, x in enumerate(langs)}
     size = {(r["kind"], r["lang"]): r["n"] for r in totals}
     per_item = counts.groupBy("kind", "item").agg(F.sum("n").alias("n"), F.collect_list(F.struct("lang", "n")).alias("by"))
 
-    def table(kind: str, limit: int, smooth: float) -> dict[str, np.ndarray]:
+    def table(kind: str, limit: int, smooth: float) -> tuple[dict[str, int], np.ndarray]:
         all_of = np.array([max(size.get((kind, x), 0), 1) for x in langs], float)
-        out = {}
-        for r in per_item.where(F.col("kind") == kind).orderBy(F.desc("n"), "item").limit(limit).collect():
-            row = np.full(len(langs), smooth)
+        top = per_item.where(F.col("kind") == kind).orderBy(F.desc("n"), "item").limit(limit).collect()
+        rows = np.full((len(top) + 1, len(langs)), smooth)
+        for i, r in enumerate(top):
             for lang_, n in r["by"]:
-                row[place[lang_]] += n
-            scores = np.log(row / (all_of + smooth * limit))
-            out[r["item"]] = (scores - scores.mean()).astype(np.float32)
-        return out
+                rows[i + 1, place[lang_]] += n
+        scores = np.log(rows / (all_of + smooth * limit))
+        scores -= scores.mean(axis=1, keepdims=True)
+        scores[0] = 0
+        return {r["item"]: i + 1 for i, r in enumerate(top)}, scores.astype(np.float32)
 
     scripts: dict[str, np.ndarray] = {}
     for r in per_item.where("kind = 'script' and item is not null").collect():
@@ -191,7 +220,7 @@ def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", bound: int =
         for lang_, n in r["by"]:
             row[place[lang_]] = n >= 0.01 * size["script", lang_]
         scripts[r["item"]] = row if row.any() else np.ones(len(langs), bool)
-    return Model(langs, scripts, table("word", WORDS, 0.5), table("gram", TRIGRAMS, 0.5))
+    return Model(langs, scripts, *table("word", WORDS, 0.5), *table("gram", TRIGRAMS, 0.5))
 
 
 def _labelled(texts: list[str | None], scores: _Scores, penalty: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -205,7 +234,7 @@ def _labelled(texts: list[str | None], scores: _Scores, penalty: float) -> Itera
         if chunk and (i < 0 or held >= CHUNK or len(scores) >= REMEMBERED):
             rows = np.concatenate([r for _, r in chunk])
             lengths = np.array([len(r) for _, r in chunk])
-            states = viterbi(scores.matrix[rows], lengths, penalty)
+            states = viterbi(scores.rows_of(rows), lengths, penalty)
             ends = np.cumsum(lengths)
             for (k, _), n, end in zip(chunk, lengths, ends, strict=True):
                 yield k, states[end - n : end], rows[end - n : end] > 0
