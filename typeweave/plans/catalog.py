@@ -17,6 +17,7 @@ from typeweave.functions import notation
 from typeweave.functions import tokens as T
 from typeweave.operators import dedupe, flatten, gc, layout, merge, namespace, resolve, symbols
 from typeweave.operators.components import connected_components
+from typeweave.sources.package import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -32,7 +33,7 @@ def query(name: str, sql: str) -> Callable[[Query], Query]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 LINK = "SELECT *, CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE p_partkey // 2 END AS parent FROM part"
