@@ -285,6 +285,14 @@ class BadName(ValueError):
     """Not a type name."""
 
 
+def _builtin(words: list[str]) -> str:
+    """The usual spelling of a builtin type whose words may come in any order."""
+    sign = "unsigned" if "unsigned" in words else "signed" if "signed" in words and "char" in words else ""
+    size = next((w for w in ("char", "short", "__int128", "double") if w in words), "")
+    whole = " ".join(w for w in (sign, "long " * words.count("long") + size) if w).strip()
+    return whole if whole in BUILTIN else "int"
+
+
 class _Reader:
     def __init__(self, text: str) -> None:
         self.tokens, at = [], 0
@@ -346,8 +354,7 @@ class _Reader:
             self.take()
             if x not in ("const", "volatile", "struct", "class", "union", "enum"):
                 words.append(x)
-        plain = " ".join(w for w in words if w != "signed" or "char" in words)
-        plain = plain if plain in BUILTIN else re.sub(r" ?\bint\b", "", plain).strip() or "int"
+        plain = _builtin(words)
         out: list = [("base", BUILTIN[plain] if words else self._leaf(), None)]
         while (x := self.peek()) is not None:
             if x in ("const", "volatile"):
