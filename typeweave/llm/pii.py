@@ -11,6 +11,8 @@ the corpus, is derived again with a higher attempt number.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,8 +48,6 @@ PATTERNS = [
     rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLES})\.? {_WORD}(?:{_NEXT}){{0,2}}",
 ]
 ENTITY = "|".join(PATTERNS)
-#: A cheap necessary condition for an entity.
-MAYBE = rf"[0-9@]|(?<![\p{{L}}\p{{N}}])(?:{_TITLES})\.? \p{{Lu}}|(?i:password|passwd|pwd|token|secret|api[_-]?key)[\x20\t]{{0,3}}[=:]"
 #: Entities that need a second attempt are looked up in a literal map up to this number, and by a join beyond it.
 MAP_LIMIT = 1000
 
@@ -220,8 +220,9 @@ def _gender(title: Column) -> Column:
 
 
 def entities(text: Column) -> Column:
-    """The entities of a text in their order; none for most texts, found by the cheap condition."""
-    return F.when(text.rlike(MAYBE), F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0)))
+    """The entities of a text in their order; most texts fail a condition that is much cheaper than the patterns."""
+    maybe = reduce(lambda a, t: a | text.contains(t), MALE + FEMALE + NEUTRAL, text.rlike("[0-9@=:]"))
+    return F.when(maybe, F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0)))
 
 
 def attempts(found: DataFrame, key: str, *, max_rounds: int = 20) -> DataFrame:
