@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from typeweave.llm.common import WORD
 from typeweave.operators.fixpoint import written
 
-#: Order keys are cut into so many bins a source; only the bin at a source's cut is sorted.
-BINS = 4096
+#: Order keys are cut into so many bins a source, and the bin at a source's cut again; only the last bin at the cut is sorted.
+BINS, LEVELS = 256, 2
 
 
 def source_targets(sized: DataFrame, *, weights: tuple[int, ...], share: Fraction, cap: int) -> DataFrame:
@@ -93,21 +93,26 @@ def pareto_mix(
         .withColumn("part", F.col("ratio") - F.col("whole"))
         .withColumnRenamed("source", "s")
     )
+    shares = written(shares, "shares")  # written, a small table is joined without moving the documents
     odds = F.col("part") / (1 - F.col("part")) * F.col("liked")
     keyed = sized.join(shares, F.col("source").eqNullSafe(F.col("s"))).drop("s")
     keyed = keyed.withColumn("order_key", F.when(F.col("part") > 0, F.col("u") / (1 - F.col("u")) / odds))
     keyed = keyed.withColumn("z", F.col("order_key") / (1 + F.col("order_key")))
-    keyed = keyed.withColumn("bin", F.least(F.floor(F.col("z") * BINS), F.lit(BINS - 1)))
-    bins = keyed.where("bin is not null").groupBy("source", "rest", "bin").agg(F.sum("size").alias("words"))
-    upto = F.sum("words").over(Window.partitionBy("source", "rest").orderBy("bin"))
-    cut = bins.withColumn("upto", upto).where("upto > rest and upto - words <= rest")
-    cut = cut.select(F.col("source").alias("s"), F.col("bin").alias("cut_bin"), (F.col("upto") - F.col("words")).alias("below"))
-    placed = keyed.join(cut, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
-    at_cut = F.col("bin") == F.col("cut_bin")
-    running = F.sum("size").over(Window.partitionBy("source").orderBy("z", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    edge = placed.where(at_cut).withColumn("after", F.col("below") + running)
-    edge = edge.withColumn("extra", (2 * F.col("after") - F.col("size") <= 2 * F.col("rest")).cast("long"))
-    clear = placed.where(~F.coalesce(at_cut, F.lit(False)))
-    clear = clear.withColumn("extra", F.coalesce((F.col("bin") < F.coalesce("cut_bin", F.lit(BINS))).cast("long"), F.lit(0)))
     columns = ["doc_id", "size", "source_size", "target", ((F.col("whole") + F.col("extra")) * F.col("size")).cast("long").alias("taken")]
-    return clear.select(*columns).unionByName(edge.select(*columns))
+    out = keyed.where("z is null").withColumn("extra", F.lit(0)).select(*columns)
+    left = keyed.where("z is not null").select("doc_id", "source", "size", "source_size", "target", "whole", "rest", "z")
+    for level in range(LEVELS):
+        left = left.withColumn("bin", F.least(F.floor(F.col("z") * BINS), F.lit(BINS - 1))).withColumn("z", F.col("z") * BINS - F.col("bin"))
+        bins = left.groupBy("source", "rest", "bin").agg(F.sum("size").alias("words"))
+        upto = F.sum("words").over(Window.partitionBy("source", "rest").orderBy("bin"))
+        cut = bins.withColumn("upto", upto).where("upto > rest and upto - words <= rest")
+        cut = cut.select(F.col("source").alias("s"), F.col("bin").alias("cut_bin"), (F.col("upto") - F.col("words")).alias("below"))
+        cut = written(cut, f"cut-{level}")
+        placed = left.join(cut, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+        clear = placed.where("cut_bin is null or bin <> cut_bin").withColumn("extra", F.when(F.col("bin") > F.col("cut_bin"), 0).otherwise(1))
+        out = out.unionByName(clear.select(*columns))
+        left = placed.where("bin = cut_bin").withColumn("rest", F.col("rest") - F.col("below")).drop("bin", "cut_bin", "below")
+    after = F.sum("size").over(Window.partitionBy("source").orderBy("z", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    nearer = 2 * F.col("after") - F.col("size") <= 2 * F.col("rest")
+    edge = left.withColumn("after", after).withColumn("extra", nearer.cast("int"))
+    return out.unionByName(edge.select(*columns))
