@@ -1,4 +1,4 @@
-"""What the corpus operators share: table access, word rules, ragged batches."""
+"""What the corpus operators share: table access, word rules, batches of sequences."""
 
 from __future__ import annotations
 
@@ -6,12 +6,14 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from typeweave.sources.package import ship
+
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def crc_mod(column: str, n: int) -> Column:
