@@ -325,27 +325,20 @@ def test_toxicity_of_disguised_words(spark, toxic_model):
 def test_decoding_follows_the_lattice(toxic_model):
     chars = toxic_model.chars
 
-    def score(text):
-        at = [1, 1]
-        total = 0.0
-        for c in text + " ":
-            z = chars.places.get(c, 0)
-            total += float(chars.logp[at[0], at[1], z])
-            at = [at[1], z]
-        return total
-
     for token in ("1d1o7", "st@p1d", "m00r0n", "looose"):
         runs = [(c, len(list(g))) for c, g in itertools.groupby(token)]
-        ways = []
-        for c, n in runs:
-            if c in toxicity.LOOKS:
-                ways.append([(x * k, toxicity.AS_LETTER) for x in toxicity.LOOKS[c] for k in ((1, 2) if n > 1 else (1,))] + [("", toxicity.AS_NOISE if toxicity.LOOKS[c] else toxicity.AS_MARK)])
-            else:
-                ways.append([(c * n, 0.0)] if n < 3 else [(c, toxicity.AS_REPEAT), (c * 2, toxicity.AS_REPEAT)])
-        best = max(itertools.product(*ways), key=lambda w: score("".join(t for t, _ in w)) - sum(k for _, k in w))
+        ways = [toxicity.arcs(c, n) for c, n in runs]
+        best = max(itertools.product(*ways), key=lambda w: chars.score("".join(t for t, _ in w)) - sum(k for _, k in w))
         assert chars.decode(token) == "".join(t for t, _ in best)
 
 
+def test_character_probabilities_sum_to_one(toxic_model):
+    chars = toxic_model.chars
+    letters = {g for g in chars.counts if len(g) == 1}
+    for context in ("    ", "  id", "idio", "xqzw"):
+        assert sum(chars.p(context, c) for c in letters) == pytest.approx(1, abs=0.01)
+
+
 def test_toxicity_of_odd_rows(spark, odd, toxic_model):
     got = toxicity.score_texts(odd.drop("score"), toxic_model).collect()
     assert len(got) == len(ODD) and all(0 <= r["score"] <= 1 for r in got)

@@ -3,7 +3,7 @@
 A token that may be disguised (digits or signs among letters, letters repeated
 three times, single letters spaced out) becomes a lattice: each sign may be
 itself, a letter that it resembles, or noise; each repetition one letter or two;
-each gap a gap or nothing.  Viterbi decoding under a character trigram model,
+each gap a gap or nothing.  Viterbi decoding under a character model,
 trained on the corpus, picks the word; a plain token's lattice has one path.
 The restored words are scored by a lexicon of words and word beginnings that
 toxic documents have more often than chance allows, and a logistic regression
@@ -29,12 +29,15 @@ from typeweave.operators.fixpoint import written
 # What letters a sign may stand for.
 LOOKS = {
     "0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s",
-    "!": "i", "|": "il", "+": "t", "€": "e", "*": "aeiou", "#": "", "%": "", "&": "", "-": "", "_": "", ".": "", "'": "",
+    "!": "i", "|": "il", "+": "t", "€": "e", "*": "abcdefghijklmnopqrstuvwxyz", "#": "", "%": "", "&": "", "-": "", "_": "", ".": "", "'": "",
 }
 #: Labelled documents that models are fitted on, at most; candidates for the lexicon; its size.
 SAMPLE, CANDIDATES, LEXICON = 24_000, 50_000, 5_000
 #: Costs, in nats, of reading a sign as a letter, a letter-like sign as noise, another sign as noise, a repetition.
 AS_LETTER, AS_NOISE, AS_MARK, AS_REPEAT = 0.5, 10.0, 1.0, 0.5
+#: Characters that a prediction looks at, itself included; readings kept at each step; character sequences of the model, at most.
+ORDER, BEAM, GRAMS = 5, 64, 100_000
+START = " " * (ORDER - 1)
 _LETTERS = re.compile(r"[^\W\d_]+")
 _DISGUISED = re.compile(r"[^\W\d_][^\s\w]*[0-9@$!|+*€#%&_.-][^\s\w]*[^\W_]|^[0-9@$!|+*€]+[^\W\d_]|[^\W\d_][0-9@$!|+€]|([^\W\d_])\1\1")
 _SPACED = re.compile(r"(?<!\S)\S(?:\s\S){3,}(?!\S)")
@@ -42,57 +45,68 @@ _EDGE = ".,;:?\"'()[]{}<>"
 _CACHE = 150_000
 
 
-@dataclass
 class CharModel:
-    """A character trigram model; characters outside its alphabet share one place."""
-
-    places: dict[str, int]
-    logp: np.ndarray
-
-    @classmethod
-    def fit(cls, counts: dict[str, int], alphabet: str) -> CharModel:
-        places = {c: i + 2 for i, c in enumerate(alphabet)}
-        places[" "] = 1
-        n = len(alphabet) + 2
-        tri = np.zeros((n, n, n))
-        for gram, k in counts.items():
-            a, b, c = (places.get(x, 0) for x in gram)
-            tri[a, b, c] += k
-        bi, uni = tri.sum(axis=0), tri.sum(axis=(0, 1))
-        p1 = (uni + 0.5) / (uni.sum() + 0.5 * n)
-        p2 = (bi + 5 * p1) / (bi.sum(axis=1, keepdims=True) + 5)
-        p3 = (tri + 5 * p2[None]) / (tri.sum(axis=2, keepdims=True) + 5)
-        return cls(places, np.log(p3).astype(np.float32))
+    """An interpolated character model of words: each context of up to four characters leans on the next shorter one."""
+
+    def __init__(self, counts: dict[str, int]) -> None:
+        self.counts, self.total, self.kinds = counts, Counter(), Counter()
+        for gram, n in counts.items():
+            self.total[gram[:-1]] += n
+            self.kinds[gram[:-1]] += 1
+        self.memo: dict[tuple[str, str], float] = {}
+
+    def __reduce__(self):
+        return CharModel, (self.counts,)
+
+    def p(self, context: str, c: str) -> float:
+        """Probability of c after context, by Witten and Bell's weights; unseen characters share the last resort."""
+        shorter = self.p(context[1:], c) if context else 1e-4
+        total, kinds = self.total.get(context, 0), self.kinds.get(context, 0)
+        return (self.counts.get(context + c, 0) + kinds * shorter) / (total + kinds) if total else shorter
+
+    def logp(self, context: str, c: str) -> float:
+        found = self.memo.get((context, c))
+        if found is None:
+            if len(self.memo) > 50_000:
+                self.memo.clear()
+            found = self.memo[context, c] = math.log(self.p(context, c))
+        return found
+
+    def score(self, text: str) -> float:
+        """Log probability of whole words, separated by single spaces."""
+        padded = START + text + " "
+        return sum(self.logp(padded[i : i + ORDER - 1], padded[i + ORDER - 1]) for i in range(len(text) + 1))
 
     def decode(self, token: str) -> str:
         """The likeliest reading of a disguised token."""
-        place = self.places.get
-        beam: dict[tuple[int, int], tuple[float, str]] = {(1, 1): (0.0, "")}
+        beam: dict[str, tuple[float, str]] = {START: (0.0, "")}
         at = 0
         while at < len(token):
-            c, run = token[at], 1
-            while at + run < len(token) and token[at + run] == c:
+            run = 1
+            while at + run < len(token) and token[at + run] == token[at]:
                 run += 1
-            if c == " ":
-                arcs = [("", 0.2), (" ", 0.0)]
-            elif c in LOOKS:
-                arcs = [(x, AS_LETTER) for x in LOOKS[c]] + [(x * 2, AS_LETTER) for x in LOOKS[c] if run > 1] + [("", AS_NOISE if LOOKS[c] else AS_MARK)]
-            else:
-                arcs = [(c * run, 0.0)] if run < 3 else [(c, AS_REPEAT), (c * 2, AS_REPEAT)]
-            after: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (score, said) in beam.items():
-                for text, cost in arcs:
-                    x, y, s = a, b, score - cost
-                    for ch in text:
-                        z = place(ch, 0)
-                        s += float(self.logp[x, y, z])
-                        x, y = y, z
-                    if (x, y) not in after or after[x, y][0] < s:
-                        after[x, y] = (s, said + text)
-            beam = after
+            after: dict[str, tuple[float, str]] = {}
+            for context, (score, said) in beam.items():
+                for text, cost in arcs(token[at], run):
+                    h, s = context, score - cost
+                    for c in text:
+                        s += self.logp(h, c)
+                        h = START if c == " " else h[1:] + c
+                    if h not in after or after[h][0] < s:
+                        after[h] = (s, said + text)
+            beam = dict(sorted(after.items(), key=lambda x: -x[1][0])[:BEAM])
             at += run
-        end = {k: (s + float(self.logp[k[0], k[1], 1]), said) for k, (s, said) in beam.items()}
-        return max(end.values())[1]
+        return max((s + self.logp(h, " "), said) for h, (s, said) in beam.items())[1]
+
+
+def arcs(c: str, run: int) -> list[tuple[str, float]]:
+    """What a run of one character may have been, and what each reading costs."""
+    if c == " ":
+        return [("", 0.2), (" ", 0.0)]
+    if c in LOOKS:
+        as_letters = [(x * k, AS_LETTER) for x in LOOKS[c] for k in ((1, 2) if run > 1 else (1,))]
+        return [*as_letters, ("", AS_NOISE if LOOKS[c] else AS_MARK)]
+    return [(c * run, 0.0)] if run < 3 else [(c, AS_REPEAT), (c * 2, AS_REPEAT)]
 
 
 def restore(token: str, model: CharModel | None) -> str:
@@ -122,6 +136,8 @@ def spaced(text: str, model: CharModel | None) -> list[str]:
     out = []
     for m in _SPACED.finditer(text):
         run = m.group().lower().split()
+        if len(run) <= 24:
+            out.append("".join(run))
         for at in range(0, len(run), 48):  # windows overlap by more than a word
             out += _LETTERS.findall(model.decode(" ".join(run[at : at + 64])))
     return out
@@ -202,12 +218,24 @@ def _counted(df: DataFrame, features, name: str) -> DataFrame:
     return df.select("text").mapInArrow(run, f"{name} string, n long").groupBy(name).agg(F.sum("n").alias("n"))
 
 
-def _trigrams(text: str | None) -> Counter:
-    out: Counter[str] = Counter()
-    for word in _LETTERS.findall(text.lower()) if text else []:
-        padded = f"  {word} "
-        out.update(padded[i : i + 3] for i in range(len(padded) - 2))
-    return out
+def _words(text: str | None) -> list[str]:
+    return _LETTERS.findall(text.lower()) if text else []
+
+
+def _grams(words: DataFrame) -> DataFrame:
+    """(gram, n) of (word, n): how often each sequence of up to ORDER characters ends somewhere in a word or at its end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held: Counter[str] = Counter()
+            for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                padded = START + word + " "
+                for end in range(ORDER, len(padded) + 1):
+                    for k in range(1, ORDER + 1):
+                        held[padded[end - k : end]] += n
+            yield pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], ["gram", "n"])
+
+    return words.where("length(word) <= 40").mapInArrow(run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def sample_of(labels: DataFrame, *, key: str, label: str, bound: int) -> DataFrame:
@@ -232,11 +260,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "d
     if not n1 or not n0:
         share = (n1 + 0.5) / (n1 + n0 + 1)
         return Model(None, {}, np.array([math.log(share / (1 - share)), 0, 0, 0, 0, 0]))
-    grams = _counted(some, _trigrams, "gram")
-    alphabet = grams.select(F.substring("gram", 3, 1).alias("c"), "n").where("c <> ' '").groupBy("c").agg(F.sum("n").alias("n"))
-    letters = "".join(r["c"] for r in alphabet.orderBy(F.desc("n"), "c").limit(64).collect())
-    usable = F.col("gram").rlike(f"^[ {re.escape(letters)}]{{3}}$")
-    chars = CharModel.fit({r["gram"]: r["n"] for r in grams.where(usable).toLocalIterator()}, letters)
+    grams = _grams(_counted(some, _words, "word")).orderBy(F.desc("n"), "gram").limit(GRAMS)
+    chars = CharModel({r["gram"]: r["n"] for r in grams.collect()})
     shared = docs.sparkSession.sparkContext.broadcast(chars)
 
     def every(x: str) -> set[str]:
