@@ -142,7 +142,7 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
     groups = connected_components(near_links(prints.select("fp").distinct()))
     grouped = checkpointed(first.join(groups, F.col("fp") == F.col("node")).select("fp", "first_id", "component"))
     # only fingerprints with a near neighbour get here; the others keep their own first document
-    merged = checkpointed(grouped.groupBy("component").agg(F.min("first_id").alias("group_id")))
+    merged = written(grouped.groupBy("component").agg(F.min("first_id").alias("group_id")), "groups")
     moved = grouped.join(merged, "component").select("fp", "group_id")
     ids = first.join(moved, "fp", "left").select("fp", F.coalesce("group_id", "first_id").alias("component_id"))
     ids = written(ids, "components")  # so that AQE can split the join below when copies crowd a fingerprint
