@@ -32,7 +32,7 @@ LOOKS = {
     "!": "i", "|": "il", "+": "t", "€": "e", "*": "abcdefghijklmnopqrstuvwxyz", "#": "", "%": "", "&": "", "-": "", "_": "", ".": "", "'": "",
 }
 #: Labelled documents that models are fitted on, at most; candidates for the lexicon; its size.
-SAMPLE, CANDIDATES, LEXICON = 24_000, 50_000, 5_000
+SAMPLE, CANDIDATES, LEXICON = 24_000, 30_000, 5_000
 #: Costs, in nats, of reading a sign as a letter, a letter-like sign as noise, another sign as noise, a repetition.
 AS_LETTER, AS_NOISE, AS_MARK, AS_REPEAT = 0.5, 10.0, 1.0, 0.5
 #: Characters that a prediction looks at, itself included; readings kept at each step; character sequences of the model, at most.
@@ -238,6 +238,12 @@ def _grams(words: DataFrame) -> DataFrame:
     return words.where("length(word) <= 40").mapInArrow(run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
+def _collected(counts: DataFrame) -> dict[str, int]:
+    """A bounded table of names and counts as a dictionary, by way of Arrow, which takes less memory than rows."""
+    found = counts.toArrow()
+    return dict(zip(found.column(0).to_pylist(), found.column("n").to_pylist(), strict=True))
+
+
 def sample_of(labels: DataFrame, *, key: str, label: str, bound: int) -> DataFrame:
     """(id, toxic) of labels with a usable label, as many as the bound, give or take chance."""
     usable = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(F.col(key).alias("id")).agg(F.max(label).alias("toxic"))
@@ -261,7 +267,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "d
         share = (n1 + 0.5) / (n1 + n0 + 1)
         return Model(None, {}, np.array([math.log(share / (1 - share)), 0, 0, 0, 0, 0]))
     grams = _grams(_counted(some, _words, "word")).orderBy(F.desc("n"), "gram").limit(GRAMS)
-    chars = CharModel({r["gram"]: r["n"] for r in grams.collect()})
+    chars = CharModel(_collected(grams))
     shared = docs.sparkSession.sparkContext.broadcast(chars)
 
     def every(x: str) -> set[str]:
@@ -271,9 +277,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "d
         return {f for w in found for f in features_of(w)}
 
     often = _counted(some.where("toxic = 1"), every, "feature").where(F.col("n") >= max(5, n1 // 500))
-    first = {r["feature"]: r["n"] for r in often.orderBy(F.desc("n"), "feature").limit(CANDIDATES).collect()}
+    first = _collected(often.orderBy(F.desc("n"), "feature").limit(CANDIDATES))
     wanted = docs.sparkSession.sparkContext.broadcast(frozenset(first))
-    against = {r["feature"]: r["n"] for r in _counted(some.where("toxic = 0"), lambda x: every(x) & wanted.value, "feature").collect()}
+    against = _collected(_counted(some.where("toxic = 0"), lambda x: every(x) & wanted.value, "feature"))
     ranked, most = [], Counter()
     for f, a in first.items():
         for k in (4, 5, 6):
