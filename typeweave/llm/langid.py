@@ -198,28 +198,27 @@ def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "
     langs = sorted({r["lang"] for r in totals})
     if not langs:
         return Model([], {}, {}, np.zeros((0, 0)), {}, np.zeros((1, 0)))
-    place = {x: i for i, x in enumerate(langs)}
     size = {(r["kind"], r["lang"]): r["n"] for r in totals}
-    per_item = counts.groupBy("kind", "item").agg(F.sum("n").alias("n"), F.collect_list(F.struct("lang", "n")).alias("by"))
+    own = [F.coalesce(F.sum(F.when(F.col("lang") == x, F.col("n"))), F.lit(0)).alias(f"l{i}") for i, x in enumerate(langs)]
+    per_item = counts.where("item is not null").groupBy("kind", "item").agg(F.sum("n").alias("n"), *own)
+
+    def collected(kind: str, limit: int) -> tuple[list[str], np.ndarray]:
+        """The commonest items and their counts by language; through Arrow, which takes less memory than rows."""
+        top = per_item.where(F.col("kind") == kind).orderBy(F.desc("n"), "item").limit(limit).toArrow()
+        return top.column("item").to_pylist(), np.stack([top.column(f"l{i}").to_numpy() for i in range(len(langs))], axis=1).astype(float)
 
     def table(kind: str, limit: int, smooth: float) -> tuple[dict[str, int], np.ndarray]:
         all_of = np.array([max(size.get((kind, x), 0), 1) for x in langs], float)
-        top = per_item.where(F.col("kind") == kind).orderBy(F.desc("n"), "item").limit(limit).collect()
-        rows = np.full((len(top) + 1, len(langs)), smooth)
-        for i, r in enumerate(top):
-            for lang_, n in r["by"]:
-                rows[i + 1, place[lang_]] += n
-        scores = np.log(rows / (all_of + smooth * limit))
+        items, rows = collected(kind, limit)
+        scores = np.log((np.concatenate([np.zeros((1, len(langs))), rows]) + smooth) / (all_of + smooth * limit))
         scores -= scores.mean(axis=1, keepdims=True)
         scores[0] = 0
-        return {r["item"]: i + 1 for i, r in enumerate(top)}, scores.astype(np.float32)
+        return {x: i + 1 for i, x in enumerate(items)}, scores.astype(np.float32)
 
     scripts: dict[str, np.ndarray] = {}
-    for r in per_item.where("kind = 'script' and item is not null").collect():
-        row = np.zeros(len(langs), bool)
-        for lang_, n in r["by"]:
-            row[place[lang_]] = n >= 0.01 * size["script", lang_]
-        scripts[r["item"]] = row if row.any() else np.ones(len(langs), bool)
+    for script, row in zip(*collected("script", len(SCRIPT_STARTS)), strict=True):
+        held = np.array([n >= 0.01 * size.get(("script", x), 1) and n > 0 for n, x in zip(row, langs, strict=True)])
+        scripts[script] = held if held.any() else np.ones(len(langs), bool)
     return Model(langs, scripts, *table("word", WORDS, 0.5), *table("gram", TRIGRAMS, 0.5))
 
 
