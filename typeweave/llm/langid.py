@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from typeweave.llm.common import time_major
+from typeweave.operators.fixpoint import written
 
 # Where the blocks of some scripts begin, by code point; a block lasts until the next begins.
 SCRIPT_STARTS = [
@@ -194,6 +195,7 @@ def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "
         yield from out()
 
     counts = some.mapInArrow(run, "kind string, lang string, item string, n long").groupBy("kind", "lang", "item").agg(F.sum("n").alias("n"))
+    counts = written(counts, "language-counts")
     totals = counts.groupBy("kind", "lang").agg(F.sum("n").alias("n")).collect()
     langs = sorted({r["lang"] for r in totals})
     if not langs:
