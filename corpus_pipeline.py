@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from typeweave.llm import decontam, mixing, pii, simhash, toxicity
+from typeweave.llm import copies, decontam, mixing, pii, simhash, toxicity
 from typeweave.llm.common import table
 from typeweave.llm.queries import PII_KEY, TOXIC_FROM, learned_labels
 from typeweave.operators.fixpoint import written
@@ -36,6 +36,13 @@ def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return pii.replace_entities(docs, key=PII_KEY).withColumn("n_chars", F.length("text").cast("long")).select(columns)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of texts with a 5-word Jaccard similarity of 0.8 or more the document with the smallest doc_id."""
+    groups = copies.near_copies(docs, shingle=5, similarity=0.8)
+    others = written(groups.where("doc_id <> component_id").select("doc_id").distinct(), "near-copies")
+    return docs.join(others, "doc_id", "left_anti").select(docs.columns)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What the mix takes of each document."""
     return mixing.pareto_mix(docs)
@@ -46,6 +53,7 @@ STAGES = [
     ("simhash near-dedup", drop_near_duplicates),
     ("benchmark decontamination", drop_contaminated),
     ("pii surrogates", replace_personal_data),
+    ("shingle near-dedup", drop_near_copies),
     ("mixing", mix_sources),
 ]
 
