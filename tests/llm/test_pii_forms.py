@@ -10,3 +10,20 @@ def test_keys_without_digits_are_found(spark):
     docs = docs_of(spark, [(i, f"the key is {s} and no more", "en", "a") for i, s in enumerate(secrets)])
     got = {r["doc_id"]: r["x"] for r in docs.select("doc_id", pii.entities(F.col("text")).alias("x")).collect()}
     assert got == {i: [s] for i, s in enumerate(secrets)}
+
+
+def test_formats_of_one_entity_agree(spark):
+    forms = [("+1 212 555 0100", "+12125550100"), ("+49 30 12345", "+49-30-12345"), ("DE89 3704 0044 0532 0130 00", "DE89370400440532013000")]
+    docs = docs_of(spark, [(i, f"{a} | {b}", "en", "a") for i, (a, b) in enumerate(forms)])
+    bare = lambda x: "".join(c for c in x if c.isalnum())
+    for r in pii.replace_entities(docs, key="k").collect():
+        a, b = map(bare, r["text"].split(" | "))
+        assert a == b != bare(forms[r["doc_id"]][0])
+
+
+def test_every_variant_is_checked_for_collisions(spark, monkeypatch):
+    """Mrs Anna's surrogate is that of Mrs Berta, but not Mr Anna's, the form that comes first."""
+    first = lambda x: F.when(x.startswith("Mrs"), "Mrs Same").otherwise("Mr Other")
+    monkeypatch.setattr(pii, "surrogate", lambda key, kind, x, attempt: F.when(attempt == 0, first(x)).otherwise(F.concat(x, F.lit("z"))))
+    got = pii.replace_entities(docs_of(spark, [(1, "Mr Anna | Mrs Anna | Mrs Berta", "en", "a")]), key="k").first()["text"].split(" | ")
+    assert len(set(got[1:])) == 2

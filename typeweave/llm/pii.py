@@ -48,6 +48,8 @@ PATTERNS = [
     rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLES})\.? {_WORD}(?:{_NEXT}){{0,2}}",
 ]
 ENTITY = "|".join(PATTERNS)
+#: Calling codes: of one digit, of two, and all others of three.
+_CALLING = r"[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3}"
 #: What each pattern that a text without digits can match needs, besides '@', ':', '=' and titles.
 _KEY_HEADS = ["AKIA", "ASIA", "sk-", "ghp_", "gho_", "ghu_", "ghs_", "ghr_"]
 #: Entities that need a second attempt are looked up in a literal map up to this number, and by a join beyond it.
@@ -76,7 +78,8 @@ def _named(x: Column) -> tuple[Column, Column]:
 def canonical(kind: Column, x: Column) -> Column:
     """What equal entities have in common, whatever their format."""
     return (
-        F.when(kind.isin("ssn", "card", "phone"), F.regexp_replace(x, "[^0-9]", ""))
+        F.when(kind.isin("ssn", "card"), F.regexp_replace(x, "[^0-9]", ""))
+        .when(kind == "phone", F.regexp_replace(x, "[^0-9+]", ""))
         .when(kind == "iban", F.regexp_replace(x, " ", ""))
         .when(kind == "email", F.lower(x))
         .when(kind == "key", F.regexp_replace(x, "^" + _ASSIGNED, ""))
@@ -85,6 +88,11 @@ def canonical(kind: Column, x: Column) -> Column:
     )
 
 
+def variant(kind: Column, x: Column) -> Column:
+    """What of an entity's form, besides its canonical form, changes the canonical form of its surrogate."""
+    return F.when(kind == "name", _gender(_named(x)[0])).otherwise("")
+
+
 def _let(value: Column, body) -> Column:
     """body(value), with value computed once."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -100,11 +108,12 @@ def _byte(stream: Column, i: Column) -> Column:
     return F.conv(F.substring(stream, ((i - 1) % 64) * 2 + 1, F.lit(2)), 16, 10).cast("int")
 
 
-def _chars(x: Column, stream: Column) -> Column:
-    """Letters and digits replaced by ones of their class, at their place; everything else stays."""
+def _chars(x: Column, stream: Column, *, spaced: bool = False) -> Column:
+    """Letters and digits replaced by ones of their class, at their place (if spaced, spaces don't count); everything else stays."""
 
     def one(s: Column, i: Column) -> Column:
-        c, b = F.substring(x, i, F.lit(1)), _byte(s, i)
+        nth = F.greatest(F.length(F.regexp_replace(F.substring(x, F.lit(1), i), " ", "")), F.lit(1)) if spaced else i
+        c, b = F.substring(x, i, F.lit(1)), _byte(s, nth)
         return (
             F.when(c.rlike("[0-9]"), F.char(48 + (F.ascii(c) - 48 + b) % 10))
             .when(c.rlike(r"\p{Lu}"), F.char(65 + (F.ascii(c) - 65 + b) % 26))
@@ -163,7 +172,7 @@ def _iban(x: Column, stream: Column) -> Column:
         check = F.lpad((98 - _mod97(F.concat(F.substring(plain, 5, 40), F.substring(plain, 1, 2), F.lit("00")))).cast("string"), 2, "0")
         return F.concat(F.substring(y, 1, 2), check, F.substring(y, 5, 60))
 
-    return _let(F.concat(F.substring(x, 1, 4), _chars(F.substring(x, 5, 60), stream)), fixed)
+    return _let(F.concat(F.substring(x, 1, 4), _chars(F.substring(x, 5, 60), stream, spaced=True)), fixed)
 
 
 def _script(word: Column) -> Column:
@@ -203,7 +212,7 @@ def _surrogate(key: str, kind: Column, x: Column, s: Column, attempt: Column) ->
     hidden = F.concat(head, _let(F.substring(x, F.length(head) + 1, F.length(x)), opaque))
     title, name = _named(x)
     names = _let(F.split(name, " "), lambda words: F.transform(words, lambda w, i: _name_word(key, w, F.when(i == F.size(words) - 1, F.lit("family")).otherwise(_gender(title)), attempt)))
-    country = F.length(F.regexp_replace(F.regexp_extract(x, r"^\+[0-9]{1,3}(?=[ .(-])", 0), "[^0-9]", ""))
+    country = F.greatest(F.length(F.regexp_extract(canonical(kind, x), rf"^\+(?:{_CALLING})", 0)) - 1, F.lit(0))
     return (
         F.when(kind == "key", hidden)
         .when(kind == "email", email)
@@ -230,9 +239,10 @@ def entities(text: Column) -> Column:
 def attempts(found: DataFrame, key: str, *, max_rounds: int = 20) -> DataFrame:
     """(kind, canon, attempt) for the entities of (kind, canon, sample) that need an attempt above 0.
 
-    sample is one form of the entity.  In each round, of the entities with the
-    same surrogate the first keeps it, unless an earlier round gave it away or
-    an entity of the corpus has that form; the others try again.
+    sample is one form of the entity; each variant has a row of its own.  In each round, of the entities
+    with the same surrogate the first keeps it, unless an earlier round gave it
+    away or an entity of the corpus has that form.  An entity keeps its attempt
+    if it keeps the surrogates of all its variants; the others try again.
     """
     every = checkpointed(found)
     pending, kept, moved = every.withColumn("attempt", F.lit(0)), None, None
@@ -243,13 +253,14 @@ def attempts(found: DataFrame, key: str, *, max_rounds: int = 20) -> DataFrame:
             made = made.join(kept.select("kind", "made", F.lit(True).alias("is_given")).distinct(), ["kind", "made"], "left")
         else:
             made = made.withColumn("is_given", F.lit(None).cast("boolean"))
-        place = F.row_number().over(Window.partitionBy("kind", "made").orderBy("canon"))
-        made = checkpointed(made.withColumn("ok", (place == 1) & F.col("is_real").isNull() & F.col("is_given").isNull()))
+        place = F.rank().over(Window.partitionBy("kind", "made").orderBy("canon"))  # variants of one entity may share a surrogate
+        made = made.withColumn("ok", (place == 1) & F.col("is_real").isNull() & F.col("is_given").isNull())
+        made = checkpointed(made.withColumn("ok", F.min("ok").over(Window.partitionBy("kind", "canon"))))
         good = made.where("ok")
-        late = good.where("attempt > 0").select("kind", "canon", "attempt")
+        late = good.where("attempt > 0").select("kind", "canon", "attempt").distinct()
         moved = late if moved is None else moved.unionByName(late)
         kept = good.select("kind", "made") if kept is None else kept.unionByName(good.select("kind", "made"))
-        pending = made.where("not ok").select("kind", "canon", "sample", (F.col("attempt") + 1).alias("attempt"))
+        pending = made.where("not ok").select(*found.columns, (F.col("attempt") + 1).alias("attempt"))
         if pending.isEmpty():
             return moved
     raise RuntimeError("surrogates stay ambiguous")
@@ -263,7 +274,7 @@ def replace_entities(docs: DataFrame, *, key: str, text: str = "text", map_limit
     """
     hits = entities(F.col(text))
     one = docs.select(F.explode(hits).alias("x")).select(kind_of(F.col("x")).alias("kind"), "x")
-    found = one.select("kind", canonical(F.col("kind"), F.col("x")).alias("canon"), "x").groupBy("kind", "canon").agg(F.min("x").alias("sample"))
+    found = one.select("kind", canonical(F.col("kind"), F.col("x")).alias("canon"), variant(F.col("kind"), F.col("x")).alias("variant"), "x").groupBy("kind", "canon", "variant").agg(F.min("x").alias("sample"))
     moved = checkpointed(attempts(found, key))
     number = moved.limit(map_limit + 1).count()
     if number <= map_limit:
