@@ -1,5 +1,7 @@
 """Connected components over an edge table, by alternating star contractions.
 
+Before the first round and after each, every task contracts the edges that it
+holds, some hundred thousand, to stars of their own; a small graph is then done.
 Every round re-hangs each node's larger neighbours on the node's smallest
 neighbour ("large star") and then each node's smaller neighbours on their
 minimum ("small star").  The rounds needed grow with the logarithm of the
@@ -9,10 +11,54 @@ algebraic aggregates, written first so that AQE can split the joins that use the
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from typeweave.operators.fixpoint import checkpointed
+from typeweave.operators.fixpoint import checkpointed, written
+from typeweave.sources.package import ship
+
+#: Edges that a task contracts by itself, about.
+LOCAL = 400_000
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the (u, v) of a task: each node but the least of its component, with that one."""
+    above: dict = {}
+
+    def top(x):
+        while (up := above.get(x, x)) != x:
+            above[x] = above.get(up, up)
+            x = up
+        return x
+
+    schema = None
+    for batch in batches:
+        schema = batch.schema
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = top(u), top(v)
+            if a != b:
+                above[max(a, b)] = min(a, b)
+    if above:
+        nodes = list(above)
+        for at in range(0, len(nodes), 50_000):
+            part = nodes[at : at + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part, schema.field(0).type), pa.array([top(x) for x in part], schema.field(1).type)], ["u", "v"])
+
+
+def _contracted(links: DataFrame, number: int) -> DataFrame:
+    """links as stars within each task; no node changes its component."""
+    kinds = dict(links.dtypes)
+    return written(links.coalesce(-(-max(number, 1) // LOCAL)).mapInArrow(_stars, f"u {kinds['u']}, v {kinds['v']}"), "stars")
+
+
+def _settled(links: DataFrame) -> bool:
+    """Whether every node hangs on one node, which hangs on none."""
+    ends = links.select("u", F.lit(1).alias("below"), F.lit(0).alias("above")).unionByName(links.select(F.col("v").alias("u"), F.lit(0).alias("below"), F.lit(1).alias("above")))
+    each = ends.groupBy("u").agg(F.sum("below").alias("below"), F.max("above").alias("above"))
+    return each.where("below > 1 or (below = 1 and above = 1)").isEmpty()
 
 
 def _hang(edges: DataFrame) -> DataFrame:
@@ -28,21 +74,21 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", *
     harmless, and a node whose only edge is a self-loop is its own component.
     An empty edge table gives an empty result.
     """
+    ship(edges.sparkSession)
     clean = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null")
-    clean = checkpointed(clean.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    loops = clean.where("u = v").select(F.col("u").alias("node"))
-    links, seen = clean.where("u <> v"), None
+    clean = written(clean.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    loops, links = clean.where("u = v").select(F.col("u").alias("node")), clean.where("u <> v")
+    links = _contracted(links, links.count())
     for _ in range(max_rounds):
+        if _settled(links):
+            break
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _hang(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         small = _hang(checkpointed(large))
         links = checkpointed(
             small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         )
-        state = links.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if seen == (state["n"], state["h"]):
-            break
-        seen = (state["n"], state["h"])
+        links = _contracted(links, links.count())
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     stars = links.select(F.col("u").alias("node"), F.col("v").alias("component"))
