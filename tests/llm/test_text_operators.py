@@ -325,16 +325,42 @@ def test_toxicity_of_disguised_words(spark, toxic_model):
 def test_decoding_follows_the_lattice(toxic_model):
     chars = toxic_model.chars
 
-    for token in ("1d1o7", "st@p1d", "m00r0n", "looose"):
-        runs = [(c, len(list(g))) for c, g in itertools.groupby(token)]
-        ways = [toxicity.arcs(c, n) for c, n in runs]
+    for token in ("1d1o7", "st@p1d", "m00r0n", "looose", "st**id", "*d*ot", "iddi0t", "m o r0n"):
+        ways = [toxicity.arcs(c, n) for c, n in toxicity.runs(token)]
         best = max(itertools.product(*ways), key=lambda w: chars.score("".join(t for t, _ in w)) - sum(k for _, k in w))
         assert chars.decode(token) == "".join(t for t, _ in best)
 
 
+def test_many_readings_equal_few(toxic_model, monkeypatch):
+    """What numpy decides at once is what is decided one by one."""
+    for token in ("st**id", "*d*ot", "m0**n", "p4th3t1c", "i d i o t"):
+        both = []
+        for many in (10**9, 0):
+            monkeypatch.setattr(toxicity, "MANY", many)
+            both.append(toxic_model.chars.decode(token))
+        assert both[0] == both[1]
+
+
+def test_long_and_short_disguises(toxic_model):
+    chars = toxic_model.chars
+    assert "stupid" in toxicity.words_of("stu" + "u" * 200 + "p1d", chars)
+    assert "idiot" in toxicity.words_of("x" * 150 + "-1d10t", chars) or toxicity.restore("x" * 150 + "-1d10t", chars).endswith("idiot")
+    assert "moron" in toxicity.spaced("m 0 r o n", chars)
+    assert "patheticidiot" in "".join(toxicity.spaced(" ".join("pathetic" * 4 + "idiot"), chars))
+
+
+def test_character_counts_are_those_of_all_words(spark):
+    rows = docs_of(spark, [(1, "ab ab", None, None), (2, "Ab-c", None, None), (3, None, None, None), (4, "", None, None)])
+    chars = toxicity.character_model(rows.select("text"))
+    cell = lambda text: toxicity._cell(toxicity._code(text[:-1]), ord(text[-1]) + 1, len(text) - 1)
+    of = lambda text: toxicity._cell(toxicity._code(text), 0, len(text))
+    assert [chars.counts[cell(x)] for x in ("a", "ab", " ", "b ", "   a", "c ", "ac")] == [3, 3, 4, 3, 3, 1, 0]
+    assert [(chars.total[of(x)], chars.kinds[of(x)]) for x in ("", "a", "b", "    ")] == [(11, 4), (3, 1), (3, 1), (4, 2)]
+
+
 def test_character_probabilities_sum_to_one(toxic_model):
     chars = toxic_model.chars
-    letters = {g for g in chars.counts if len(g) == 1}
+    letters = {c for _, t, *_ in toxic_corpus()[0] for c in t}
     for context in ("    ", "  id", "idio", "xqzw"):
         assert sum(chars.p(context, c) for c in letters) == pytest.approx(1, abs=0.01)
 

@@ -2,9 +2,12 @@
 
 A token that may be disguised (digits or signs among letters, letters repeated
 three times, single letters spaced out) becomes a lattice: each sign may be
-itself, a letter that it resembles, or noise; each repetition one letter or two;
-each gap a gap or nothing.  Viterbi decoding under a character model,
-trained on the corpus, picks the word; a plain token's lattice has one path.
+a letter that it resembles or noise; each repetition one letter or two;
+each gap a gap or nothing.  Viterbi decoding under a character model of five
+characters picks the word: it keeps the best reading of every context that the
+model can tell apart, so it finds the best of all paths.  The model counts the
+words of all documents, in hashed cells of a fixed number; no sequence is left
+out.  Texts, tokens and runs are read whole, however long.
 The restored words are scored by a lexicon of words and word beginnings that
 toxic documents have more often than chance allows, and a logistic regression
 on what a whole text has of them.
@@ -16,7 +19,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -31,38 +34,77 @@ LOOKS = {
     "0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s",
     "!": "i", "|": "il", "+": "t", "€": "e", "*": "abcdefghijklmnopqrstuvwxyz", "#": "", "%": "", "&": "", "-": "", "_": "", ".": "", "'": "",
 }
-#: Labelled documents that models are fitted on, at most; candidates for the lexicon; its size.
-SAMPLE, CANDIDATES, LEXICON = 24_000, 30_000, 5_000
+#: Labelled documents that the lexicon and the regression are fitted on, at most.
+SAMPLE = 24_000
 #: Costs, in nats, of reading a sign as a letter, a letter-like sign as noise, another sign as noise, a repetition.
 AS_LETTER, AS_NOISE, AS_MARK, AS_REPEAT = 0.5, 10.0, 1.0, 0.5
-#: Characters that a prediction looks at, itself included; readings kept at each step; character sequences of the model, at most.
-ORDER, BEAM, GRAMS = 5, 64, 100_000
+#: Characters that a prediction looks at, itself included; cells that sequences are counted in, as a power of two; what a longer run of the sign for any letter is: a mark.
+ORDER, CELL_BITS, MASK_RUN = 5, 20, 4
+#: Readings of a step from which numpy takes over.
+MANY = 64
 START = " " * (ORDER - 1)
 _LETTERS = re.compile(r"[^\W\d_]+")
 _DISGUISED = re.compile(r"[^\W\d_][^\s\w]*[0-9@$!|+*€#%&_.-][^\s\w]*[^\W_]|^[0-9@$!|+*€]+[^\W\d_]|[^\W\d_][0-9@$!|+€]|([^\W\d_])\1\1")
-_SPACED = re.compile(r"(?<!\S)\S(?:\s\S){3,}(?!\S)")
+_SPACED = re.compile(r"(?<!\S)\S(?:\s\S){2,}(?!\S)")
+_RUNS = re.compile(r"(.)\1*", re.DOTALL)
 _EDGE = ".,;:?\"'()[]{}<>"
-_CACHE = 150_000
+#: Tokens that a worker remembers; names that a task counts before it passes them on.
+_CACHE, HELD = 150_000, 300_000
 
 
+_MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
+_WHOLE = (1 << 64) - 1
+_CONTEXTS = [(1 << 16 * k) - 1 for k in range(ORDER)]
+
+
+def _cell(context, c, k):
+    """The cell of c after a context of k characters, 16 bits each (c is 0 for the context itself); for integers or arrays of them."""
+    if isinstance(context, int):
+        h = (context * _MIX[0] ^ (c + 1) * _MIX[1] ^ (k + 1) * _MIX[2]) & _WHOLE
+        h = (h ^ h >> 29) * _MIX[3] & _WHOLE
+        return h >> 64 - CELL_BITS
+    h = context * np.uint64(_MIX[0]) ^ (c + np.uint64(1)) * np.uint64(_MIX[1]) ^ np.uint64((k + 1) * _MIX[2] & _WHOLE)
+    h = (h ^ h >> np.uint64(29)) * np.uint64(_MIX[3])
+    return (h >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+
+
+def _code(context: str) -> int:
+    """The characters' lower 16 bits, side by side."""
+    out = 0
+    for c in context:
+        out = out << 16 | ord(c) & 0xFFFF
+    return out
+
+
+@dataclass
 class CharModel:
-    """An interpolated character model of words: each context of up to four characters leans on the next shorter one."""
+    """An interpolated character model of words: each context of up to four characters leans on the next shorter one.
 
-    def __init__(self, counts: dict[str, int]) -> None:
-        self.counts, self.total, self.kinds = counts, Counter(), Counter()
-        for gram, n in counts.items():
-            self.total[gram[:-1]] += n
-            self.kinds[gram[:-1]] += 1
-        self.memo: dict[tuple[str, str], float] = {}
+    By cell: how often a sequence occurs, how often its context, and how many different characters follow the context.
+    """
 
-    def __reduce__(self):
-        return CharModel, (self.counts,)
+    counts: np.ndarray
+    total: np.ndarray
+    kinds: np.ndarray
+    memo: dict[tuple[str, str], float] = field(default_factory=dict)
+
+    @classmethod
+    def empty(cls) -> CharModel:
+        return cls(*(np.zeros(1 << CELL_BITS, np.float32) for _ in range(3)))
+
+    def at(self, context, c):
+        """Probability of c after context, by Witten and Bell's weights; unseen characters share the last resort.  Codes or arrays of codes."""
+        out = 1e-4
+        for k in range(ORDER):
+            kind = int if isinstance(context, int) else np.uint64
+            own = context & kind(_CONTEXTS[k])
+            at, of = _cell(own, c + kind(1), k), _cell(own, c * kind(0), k)
+            kinds, rare = self.kinds[of], 1e-9
+            out = (self.counts[at] + (kinds + rare) * out) / (self.total[of] + kinds + rare)
+        return out
 
     def p(self, context: str, c: str) -> float:
-        """Probability of c after context, by Witten and Bell's weights; unseen characters share the last resort."""
-        shorter = self.p(context[1:], c) if context else 1e-4
-        total, kinds = self.total.get(context, 0), self.kinds.get(context, 0)
-        return (self.counts.get(context + c, 0) + kinds * shorter) / (total + kinds) if total else shorter
+        return float(self.at(_code(context), ord(c) & 0xFFFF))
 
     def logp(self, context: str, c: str) -> float:
         found = self.memo.get((context, c))
@@ -72,31 +114,83 @@ class CharModel:
             found = self.memo[context, c] = math.log(self.p(context, c))
         return found
 
+    def __reduce__(self):
+        return CharModel, (self.counts, self.total, self.kinds)
+
     def score(self, text: str) -> float:
         """Log probability of whole words, separated by single spaces."""
-        padded = START + text + " "
-        return sum(self.logp(padded[i : i + ORDER - 1], padded[i + ORDER - 1]) for i in range(len(text) + 1))
+        total, context = 0.0, START
+        for c in text + " ":
+            total += self.logp(context, c)
+            context = START if c == " " else context[1:] + c
+        return total
 
     def decode(self, token: str) -> str:
         """The likeliest reading of a disguised token."""
-        beam: dict[str, tuple[float, str]] = {START: (0.0, "")}
-        at = 0
-        while at < len(token):
-            run = 1
-            while at + run < len(token) and token[at + run] == token[at]:
-                run += 1
-            after: dict[str, tuple[float, str]] = {}
-            for context, (score, said) in beam.items():
-                for text, cost in arcs(token[at], run):
+        best: dict[str, tuple[float, str]] = {START: (0.0, "")}
+        for c, run in runs(token):
+            ways = arcs(c, run)
+            if len(best) == 1 and len(ways) == 1:  # all readings share this step, so its probability decides nothing
+                ((context, (score, said)),) = best.items()
+                best = {_after(context, ways[0][0]): (score, said + ways[0][0])}
+                continue
+            if len(best) * len(ways) > MANY:
+                best = self._many(best, ways)
+                continue
+            then: dict[str, tuple[float, str]] = {}
+            for context, (score, said) in best.items():
+                for text, cost in ways:
                     h, s = context, score - cost
-                    for c in text:
-                        s += self.logp(h, c)
-                        h = START if c == " " else h[1:] + c
-                    if h not in after or after[h][0] < s:
-                        after[h] = (s, said + text)
-            beam = dict(sorted(after.items(), key=lambda x: -x[1][0])[:BEAM])
-            at += run
-        return max((s + self.logp(h, " "), said) for h, (s, said) in beam.items())[1]
+                    for x in text:
+                        s += self.logp(h, x)
+                        h = START if x == " " else h[1:] + x
+                    if h not in then or then[h][0] < s:
+                        then[h] = (s, said + text)
+            best = then
+        return max((s + self.logp(h, " "), said) for h, (s, said) in best.items())[1]
+
+    def _many(self, best: dict[str, tuple[float, str]], ways: list[tuple[str, float]]) -> dict[str, tuple[float, str]]:
+        """A step of many readings at once, with numpy; still the best of every context."""
+        held = list(best)
+        codes = np.array([_code(h) for h in held], np.uint64)
+        scores = np.array([best[h][0] for h in held])
+        ends, sums = [], []
+        for text, cost in ways:
+            h, s = codes, scores - cost
+            for x in text:
+                c = np.uint64(ord(x) & 0xFFFF)
+                s = s + np.log(self.at(h, np.full(len(h), c)))
+                h = np.full(len(h), np.uint64(_code(START))) if x == " " else h << np.uint64(16) | c
+            ends.append(h)
+            sums.append(s)
+        end, total = np.concatenate(ends), np.concatenate(sums)
+        order = np.lexsort((-total, end))
+        first = order[np.concatenate([[True], end[order][1:] != end[order][:-1]])]
+        out = {}
+        for i, s in zip(first.tolist(), total[first].tolist(), strict=True):
+            way, context = ways[i // len(held)][0], held[i % len(held)]
+            h = _after(context, way)
+            if h not in out or out[h][0] < s:
+                out[h] = (s, best[context][1] + way)
+        return out
+
+
+def _after(context: str, text: str) -> str:
+    """The context after text."""
+    whole = START + text.rpartition(" ")[2] if " " in text else context + text
+    return whole[-(ORDER - 1) :]
+
+
+def runs(token: str) -> Iterator[tuple[str, int]]:
+    """Runs of one character; signs come one by one, but for long runs of the sign for any letter, which are a mark."""
+    for m in _RUNS.finditer(token):
+        c, n = m.group(1), len(m.group())
+        if c == "*" and n > MASK_RUN:
+            yield "#", n
+        elif c in LOOKS:
+            yield from ((c, 1) for _ in range(n))
+        else:
+            yield c, n
 
 
 def arcs(c: str, run: int) -> list[tuple[str, float]]:
@@ -104,15 +198,14 @@ def arcs(c: str, run: int) -> list[tuple[str, float]]:
     if c == " ":
         return [("", 0.2), (" ", 0.0)]
     if c in LOOKS:
-        as_letters = [(x * k, AS_LETTER) for x in LOOKS[c] for k in ((1, 2) if run > 1 else (1,))]
-        return [*as_letters, ("", AS_NOISE if LOOKS[c] else AS_MARK)]
-    return [(c * run, 0.0)] if run < 3 else [(c, AS_REPEAT), (c * 2, AS_REPEAT)]
+        return [*((x, AS_LETTER) for x in LOOKS[c]), ("", AS_NOISE if LOOKS[c] else AS_MARK)]
+    return [(c, 0.0)] if run == 1 else [(c, AS_REPEAT), (c * 2, 0.0 if run == 2 else AS_REPEAT)]
 
 
 def restore(token: str, model: CharModel | None) -> str:
-    """A lower-case token as it was meant; at most 64 characters of it can be disguised as one word."""
+    """A lower-case token as it was meant."""
     bare = token.strip(_EDGE).rstrip("!" + _EDGE)  # at the end, marks are more often marks than letters
-    if model is None or len(bare) > 64 or not _DISGUISED.search(bare):
+    if model is None or not _DISGUISED.search(bare):
         return token
     return model.decode(bare)
 
@@ -136,10 +229,7 @@ def spaced(text: str, model: CharModel | None) -> list[str]:
     out = []
     for m in _SPACED.finditer(text):
         run = m.group().lower().split()
-        if len(run) <= 24:
-            out.append("".join(run))
-        for at in range(0, len(run), 48):  # windows overlap by more than a word
-            out += _LETTERS.findall(model.decode(" ".join(run[at : at + 64])))
+        out += ["".join(run), *_LETTERS.findall(model.decode(" ".join(run)))]
     return out
 
 
@@ -168,7 +258,7 @@ class _Scores(dict):
         tokens = text.split() if text else []
         weights = np.fromiter(map(self.__getitem__, tokens), np.float64, len(tokens))
         hits = weights[weights > 0].tolist()
-        if text and len(tokens) > 3:
+        if text:
             hits += [x for x in map(self.of_word, spaced(text, self.model)) if x > 0]
         n = len(hits)
         return [1.0, float(n > 0), float(n > 1), min(n, 4) / 4, min(sum(hits), 24.0) / 24, max(hits, default=0.0) / 8]
@@ -211,31 +301,63 @@ def _counted(df: DataFrame, features, name: str) -> DataFrame:
         for batch in batches:
             for x in batch.column(0):
                 held.update(features(x.as_py()))
-                if len(held) > 200_000:
+                if len(held) > HELD:
                     yield out()
         yield out()
 
     return df.select("text").mapInArrow(run, f"{name} string, n long").groupBy(name).agg(F.sum("n").alias("n"))
 
 
-def _words(text: str | None) -> list[str]:
-    return _LETTERS.findall(text.lower()) if text else []
-
-
-def _grams(words: DataFrame) -> DataFrame:
-    """(gram, n) of (word, n): how often each sequence of up to ORDER characters ends somewhere in a word or at its end."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sequences(words: list[str], times: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(k, context of k characters, character, times) of all sequences in words and at their ends, once each."""
+    whole = "".join(f"{START}{w} " for w in words)
+    codes = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) & np.uint64(0xFFFF)
+    lengths = np.array([len(w) + ORDER for w in words])
+    at = np.arange(len(codes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    ends = np.flatnonzero(at >= ORDER - 1)
+    n = np.repeat(times, lengths)[ends]
+    out, context = [], np.zeros(len(ends), np.uint64)
+    for k in range(ORDER):
+        if k:
+            context = context | codes[ends - k] << np.uint64(16 * (k - 1))
+        order = np.lexsort((codes[ends], context))
+        a, c = context[order], codes[ends][order]
+        new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (c[1:] != c[:-1])])) if len(order) else order
+        out.append((np.full(len(new), k), a[new], c[new], np.add.reduceat(n[order], new) if len(new) else n))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def character_model(docs: DataFrame) -> CharModel:
+    """The character model of all words of (text), counted over all rows: words, then sequences, then cells."""
+
+    def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held: Counter[str] = Counter()
-            for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                padded = START + word + " "
-                for end in range(ORDER, len(padded) + 1):
-                    for k in range(1, ORDER + 1):
-                        held[padded[end - k : end]] += n
-            yield pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], ["gram", "n"])
-
-    return words.where("length(word) <= 40").mapInArrow(run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+            words, times = [], []
+            for token, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = _LETTERS.findall(token)
+                words += found
+                times += [n] * len(found)
+            k, context, c, n = _sequences(words, times)
+            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(context.view(np.int64)), pa.array(c.astype(np.int32)), pa.array(n, pa.int64())], ["k", "context", "c", "n"])
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k, n = batch.column(0).to_numpy(), batch.column(3).to_numpy()
+            context, c = batch.column(1).to_numpy().view(np.uint64), batch.column(2).to_numpy().astype(np.uint64)
+            for part in range(ORDER):
+                own = k == part
+                at, of = _cell(context[own], c[own] + np.uint64(1), part), _cell(context[own], c[own] * np.uint64(0), part)
+                zero, one = np.zeros(len(at), np.int64), np.ones(len(at), np.int64)
+                for columns in ((at, n[own], zero, zero), (of, zero, n[own], one)):
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["cell", "counts", "total", "kinds"])
+
+    tokens = _counted(docs, lambda x: x.lower().split() if x else (), "token")
+    grams = tokens.mapInArrow(sequences, "k int, context long, c int, n long").groupBy("k", "context", "c").agg(F.sum("n").alias("n"))
+    found = grams.mapInArrow(cells, "cell long, counts long, total long, kinds long").groupBy("cell").agg(*[F.sum(x).alias(x) for x in ("counts", "total", "kinds")]).toArrow()
+    out, at = CharModel.empty(), found.column("cell").to_numpy()
+    for name in ("counts", "total", "kinds"):
+        getattr(out, name)[at] = found.column(name).to_numpy()
+    return out
 
 
 def _collected(counts: DataFrame) -> dict[str, int]:
@@ -253,10 +375,11 @@ def sample_of(labels: DataFrame, *, key: str, label: str, bound: int) -> DataFra
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "doc_id", label: str = "toxic", bound: int = SAMPLE) -> Model:
-    """Fit the models on at most `bound` labelled documents; equal texts count once.
+    """Fit the character model on all documents, the lexicon and the regression on at most `bound` labelled ones; equal texts count once there.
 
     Without labels of both kinds the model gives the share of label 1 (0.5 if
-    there are none) to all texts.
+    there are none) to all texts.  Null texts, labels and keys, and labels
+    other than 0 and 1, teach nothing; of several labels of a key the greatest counts.
     """
     ids = sample_of(labels, key=key, label=label, bound=bound)
     some = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(F.broadcast(ids), "id").select("text", "toxic")
@@ -266,8 +389,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "d
     if not n1 or not n0:
         share = (n1 + 0.5) / (n1 + n0 + 1)
         return Model(None, {}, np.array([math.log(share / (1 - share)), 0, 0, 0, 0, 0]))
-    grams = _grams(_counted(some, _words, "word")).orderBy(F.desc("n"), "gram").limit(GRAMS)
-    chars = CharModel(_collected(grams))
+    chars = character_model(docs.select(F.col(text).cast("string").alias("text")))
     shared = docs.sparkSession.sparkContext.broadcast(chars)
 
     def every(x: str) -> set[str]:
@@ -277,7 +399,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "d
         return {f for w in found for f in features_of(w)}
 
     often = _counted(some.where("toxic = 1"), every, "feature").where(F.col("n") >= max(5, n1 // 500))
-    first = _collected(often.orderBy(F.desc("n"), "feature").limit(CANDIDATES))
+    first = _collected(often)
     wanted = docs.sparkSession.sparkContext.broadcast(frozenset(first))
     against = _collected(_counted(some.where("toxic = 0"), lambda x: every(x) & wanted.value, "feature"))
     ranked, most = [], Counter()
@@ -292,7 +414,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "d
         weight = math.log((a + 0.5) / (n1 + 1)) - math.log((b + 0.5) / (n0 + 1))
         if z >= 6 and weight >= 1:
             ranked.append((-z, f, min(weight, 8.0)))
-    lexicon = {f: w for _, f, w in sorted(ranked)[:LEXICON]}
+    lexicon = {f: w for _, f, w in sorted(ranked)}
     rough = docs.sparkSession.sparkContext.broadcast(Model(chars, lexicon, np.zeros(6)))
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,6 +424,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "d
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), batch.column(1).cast(pa.int64())], ["x", "y"])
 
     points = some.select("text", "toxic").mapInArrow(seen, "x array<double>, y long").groupBy("x", "y").count().collect()
+    for x in (shared, wanted, rough):
+        x.destroy()
     x = np.repeat(np.array([r["x"] for r in points]), [r["count"] for r in points], axis=0)
     y = np.repeat(np.array([r["y"] for r in points], float), [r["count"] for r in points])
     return Model(chars, lexicon, _logistic(x, y))
@@ -311,9 +435,10 @@ def score_texts(docs: DataFrame, model: Model, *, text: str = "text", score: str
     """docs with a score from 0 to 1 (higher: label 1 is likelier) for every text.
 
     Null and empty texts get the score of a text without any sign of toxicity;
-    all columns and rows stay.  Texts are read whole.
+    all rows stay, and all columns but one that `score` names, which it takes the place of.  Texts are read whole.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    docs = docs.drop(score)
     place = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
