@@ -27,3 +27,29 @@ def test_every_variant_is_checked_for_collisions(spark, monkeypatch):
     monkeypatch.setattr(pii, "surrogate", lambda key, kind, x, attempt: F.when(attempt == 0, first(x)).otherwise(F.concat(x, F.lit("z"))))
     got = pii.replace_entities(docs_of(spark, [(1, "Mr Anna | Mrs Anna | Mrs Berta", "en", "a")]), key="k").first()["text"].split(" | ")
     assert len(set(got[1:])) == 2
+
+
+def test_short_forms_always_find_a_surrogate(spark):
+    names = [f"Mr {c}" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"]
+    mails = [f"{c}@tiny.example.net" for c in "abcdefghijklmnopqrstuvwxyz0123456789"]
+    docs = docs_of(spark, [(i, x, "en", "a") for i, x in enumerate(names + mails)])
+    got = {r["doc_id"]: r["text"] for r in pii.replace_entities(docs, key="k").collect()}
+    assert len(set(got.values())) == len(got) == 62 and not set(got.values()) & set(names + mails)
+    assert all(got[i].startswith("Mr ") for i in range(26)) and len({got[i].split("@")[1] for i in range(26, 62)}) == 1
+
+
+def test_titles_of_one_person_agree(spark):
+    docs = docs_of(spark, [(1, "Dr John Smith | Mr John Smith | Prof. John Smith", "en", "a"), (2, "Dr Ann Lee | Mrs Ann Lee", "en", "a"), (3, "Dr Kim Po | Mr Kim Po | Mrs Kim Po", "en", "a")])
+    for limit in (1000, 0):
+        got = {r["doc_id"]: r["text"].split(" | ") for r in pii.replace_entities(docs, key="k", map_limit=limit).collect()}
+        bare = {d: [x.split(" ", 1)[1] for x in forms] for d, forms in got.items()}
+        assert len(set(bare[1])) == len(set(bare[2])) == 1 and bare[1][0].split()[0].endswith("n") and bare[2][0].split()[0].endswith("na")
+        assert [x.split(" ")[0] for x in got[1]] == ["Dr", "Mr", "Prof."]
+        assert bare[3][1] != bare[3][2]
+
+
+def test_letters_keep_their_script(spark):
+    docs = docs_of(spark, [(1, "пишите на иван.петров@пример.com", "ru", "a"), (2, "στο αννα@παραδειγμα.gr", "el", "a")])
+    got = {r["doc_id"]: r["text"].split()[-1] for r in pii.replace_entities(docs, key="k").collect()}
+    assert all("а" <= c <= "я" for c in got[1].removesuffix(".example") if c.isalpha()) and got[1].count(".") == 2
+    assert all("α" <= c <= "ω" for c in got[2].removesuffix(".example") if c.isalpha())

@@ -17,8 +17,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def crc_mod(column: str, n: int) -> Column:
-    """crc32 of a column's decimal text, modulo n."""
-    return F.crc32(F.col(column).cast("string").cast("binary")) % n
+    """crc32 of a column's decimal text (null: of the empty text, which is 0), modulo n."""
+    return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    """A column name that is not taken."""
+    while name.lower() in {t.lower() for t in taken}:
+        name += "_"
+    return name
 
 
 def words_of(text: str | None) -> list[bytes]:
