@@ -1,13 +1,16 @@
 """Near copies by exact Jaccard similarity of word shingles.
 
-An exact prefix filter finds the candidates.  All texts order their shingles
+SimHash proposes links first: sets of shingles whose fingerprints are within two
+bits of each other, by anchor-point covering.  An exact prefix filter proposes
+the rest, so that no link is missed.  All texts order their shingles
 alike, common ones last; two texts of similarity s or more share one of the
-first n - ceil(s n) + 1 of the n shingles of each, so no pair can be missed.
-What is common is counted on a bounded sample, which decides the order and so
-the time, never the result.  Equal sets are one candidate.  The sets of a
-shared shingle are first compared along their sizes, each with its neighbour,
-and joined into components; then only pairs of different components are
-compared, so a crowd of near copies costs a row for each member.  Pairs are
+first n - ceil(s n) + 1 of the n shingles of each.  What is common is counted on
+a bounded sample, which decides the order and so the time, never the result.
+Equal sets are one candidate.  The sets of a shared shingle are compared along
+their sizes, each with its neighbour; those links and SimHash's are verified
+and joined into components.  Then only pairs of different components are
+compared, so a crowd of near copies costs a row for each member, and the sets of
+a crowded shingle meet in blocks of bounded size.  Pairs are
 dropped by the place of their shared shingle and by sketches, both of which
 bound what two sets share from above; the rest is compared whole.
 """
@@ -23,29 +26,23 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from typeweave.llm.common import words_of
+from typeweave.llm import simhash
+from typeweave.llm.common import free_name
 from typeweave.operators.components import connected_components
 from typeweave.operators.fixpoint import written
 
 SEED = 42
 #: Texts on which common shingles are counted, about; shingles in that order table, at most; texts that make a shingle common.
 ORDER_SAMPLE, ORDER_TABLE, COMMON = 8_000, 100_000, 4
-#: Parts that a sketch counts shingles in.
-PARTS = 256
+#: Parts that a sketch counts shingles in; sets of a shingle that meet in a task, about.
+PARTS, BLOCK = 256, 2_048
+#: Sets that a task remembers, so as not to pass on copies of them.
+SEEN = 200_000
 
 
 def shingles_of(text: str | None, size: int) -> np.ndarray:
-    """The distinct shingles' XXH64 values, ascending; a text shorter than a shingle is one, without words it has none."""
-    words = words_of(text)
-    if not words:
-        return np.zeros(0, np.int64)
-    digest, joined, n = xxhash.xxh64_intdigest, b" ".join(words), len(words)
-    if n <= size:
-        return np.array([digest(joined, SEED)], np.uint64).view(np.int64)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1)
-    starts = np.concatenate([[0], ends[: n - size]]).tolist()
-    stops = (ends[size - 1 :] - 1).tolist()
-    return np.unique(np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)), np.uint64, n - size + 1).view(np.int64))
+    """The shingles' XXH64 values, ascending, with repeats; a text shorter than a shingle is one, without words it has none."""
+    return np.sort(simhash.shingle_hashes(text, size).view(np.int64))
 
 
 def _set_id(grams: np.ndarray) -> int:
@@ -53,8 +50,13 @@ def _set_id(grams: np.ndarray) -> int:
 
 
 def _sketch(grams: np.ndarray) -> bytes:
-    """How many shingles fall into each part; the sum of two sketches' minima is no less than what the sets share."""
-    return np.bincount(grams & (PARTS - 1), minlength=PARTS).astype(np.uint32).tobytes()
+    """How many shingles fall into each part, in one byte or four; the sum of two sketches' minima is no less than what the sets share."""
+    found = np.bincount(grams & (PARTS - 1), minlength=PARTS)
+    return found.astype(np.uint8 if found.max() < 256 else np.uint32).tobytes()
+
+
+def _sketches(column: pa.Array) -> np.ndarray:
+    return np.stack([np.frombuffer(x.as_buffer(), np.uint8 if len(x.as_buffer()) == PARTS else np.uint32) for x in column]).astype(np.int64)
 
 
 def prefix_of(grams: np.ndarray, similarity: float, common: np.ndarray, times: np.ndarray) -> np.ndarray:
@@ -80,7 +82,7 @@ def _common(rows: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for x in batch.column(0):
-                yield pa.RecordBatch.from_arrays([pa.array(shingles_of(x.as_py(), size))], ["gram"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingles_of(x.as_py(), size)))], ["gram"])
 
     few = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(part * 1_000_000)).select("text")
     often = few.mapInArrow(run, "gram long").groupBy("gram").count().where(F.col("count") >= COMMON)
@@ -116,7 +118,9 @@ def _sketched(similarity: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(-1, PARTS) for i in (2, 3))
+            if not batch.num_rows:
+                continue
+            x, y = _sketches(batch.column(2)), _sketches(batch.column(3))
             keep = np.minimum(x, y).sum(axis=1) * (1 + similarity) >= (x.sum(axis=1) + y.sum(axis=1)) * similarity - 1e-9
             yield batch.select([0, 1]).filter(pa.array(keep))
 
@@ -128,55 +132,117 @@ def near_copies(docs: DataFrame, *, text: str = "text", key: str = "doc_id", shi
 
     Texts link at a Jaccard similarity of their sets of shingles of `similarity`
     or more; component_id is the smallest doc_id that can be reached, null only
-    if no document of the group has one.  Texts without words are copies of each
-    other.  Keys may be null or repeated.
+    if no document of the group has one.  Texts without words (null, empty,
+    white space) are copies of each other.  Keys may be null or repeated; other
+    columns are ignored; no documents, no rows.
     """
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    order = docs.sparkSession.sparkContext.broadcast(_common(rows, shingle))
+    return near_groups(rows, shingle, similarity).select("doc_id", "component_id")
+
+
+def near_groups(rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(doc_id, own columns, group, component_id) of rows (doc_id, text, own columns); group is never null."""
+    order = rows.sparkSession.sparkContext.broadcast(_common(rows, shingle))
+    own = [c for c in rows.columns if c not in ("doc_id", "text")]
+    kinds = dict(rows.dtypes)
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # a set that a task has passed on needs no second prefix from it
         for batch in batches:
-            found = [shingles_of(x.as_py(), shingle) for x in batch.column(1)]
-            firsts = [prefix_of(g, similarity, *order.value) if len(g) else g for g in found]
-            columns = [batch.column(0), pa.array(map(_set_id, found), pa.int64()), pa.array(map(len, found), pa.int64()), _arrays(firsts), pa.array(map(_sketch, found), pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "id", "n", "prefix", "sketch"])
+            ids, sizes, firsts, sketches, prints = [], [], [], [], []
+            for x in batch.column(1):
+                every = shingles_of(x.as_py(), shingle)
+                grams = np.unique(every)
+                ids.append(_set_id(grams))
+                sizes.append(len(grams))
+                again = ids[-1] in seen
+                firsts.append(grams[:0] if again or not len(grams) else prefix_of(grams, similarity, *order.value))
+                sketches.append(None if again else _sketch(grams))
+                prints.append(None if again else simhash.fingerprint_of(every.view(np.uint64)))
+                if len(seen) >= SEEN:
+                    seen.clear()
+                seen.add(ids[-1])
+            fps = pa.array([None if f is None else f - (1 << 64 if f >> 63 else 0) for f in prints], pa.int64())
+            columns = [batch.column(0), *batch.columns[2:], pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), _arrays(firsts), pa.array(sketches, pa.binary()), fps]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", *own, "set_id", "n", "prefix", "sketch", "fp"])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingles_of(x.as_py(), shingle) for x in batch.column(0)]
+            found = [np.unique(shingles_of(x.as_py(), shingle)) for x in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(map(_set_id, found), pa.int64()), _arrays(found)], ["id", "grams"])
 
-    every = written(rows.mapInArrow(prefixes, "doc_id long, id long, n long, prefix array<long>, sketch binary"), "prefixes")
-    first = written(every.groupBy("id").agg(F.min("doc_id").alias("first_id"), F.first("sketch").alias("sketch")), "sets")
-    at = every.select("id", "n", F.posexplode("prefix").alias("place", "gram"))
-    shared = at.groupBy("gram").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("gram")
-    members = written(at.join(shared, "gram", "left_semi").distinct(), "shared")
+    schema = ", ".join(["doc_id long", *(f"{c} {kinds[c]}" for c in own), "set_id long, n long, prefix array<long>, sketch binary, fp long"])
+    every = written(rows.select("doc_id", "text", *own).mapInArrow(prefixes, schema), "prefixes")
+    sets = every.groupBy(F.col("set_id").alias("id")).agg(F.min("doc_id").alias("first_id"), F.first("sketch", ignorenulls=True).alias("sketch"), F.min("fp").alias("fp"))
+    sets = written(sets, "sets")
+    at = every.select(F.col("set_id").alias("id"), "n", F.posexplode("prefix").alias("place", "gram")).repartition("gram").dropDuplicates(["gram", "id"])
     by_size = Window.partitionBy("gram").orderBy("n", "id")
-    beside = members.select("id", "n", F.lag("id").over(by_size).alias("other"), F.lag("n").over(by_size).alias("less")).where(F.col("less") >= F.col("n") * similarity - 1e-9)
-    beside = beside.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
+    members = at.select("gram", "id", "n", "place", *(f("id").over(by_size).alias(name) for f, name in ((F.lag, "other"), (F.lead, "next"))), F.lag("n").over(by_size).alias("less"))
+    members = written(members.where("other is not null or next is not null").drop("next"), "shared")
+    beside = members.where(F.col("less") >= F.col("n") * similarity - 1e-9).select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
 
     def alike(pairs: DataFrame) -> DataFrame:
+        """Those of (a, b) that are as similar as asked."""
+        pairs = written(pairs.distinct(), "pairs")
         for end, sketch in (("a", "x"), ("b", "y")):
-            pairs = written(pairs.distinct() if end == "a" else pairs, "pairs")
-            pairs = pairs.join(first.select(F.col("id").alias(end), F.col("sketch").alias(sketch)), end)
+            pairs = pairs.join(sets.select(F.col("id").alias(end), F.col("sketch").alias(sketch)), end)
         pairs = written(pairs.select("a", "b", "x", "y").mapInArrow(_sketched(similarity), "a long, b long"), "sketched")
         ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-        ids = written(ids.join(first, "id").select("id", "first_id"), "ids")
+        ids = written(ids.join(sets, "id").select("id", "first_id"), "ids")
         texts = rows.join(ids.where("first_id is not null").select(F.col("first_id").alias("doc_id")).distinct(), "doc_id", "left_semi").select("text")
         texts = texts.unionByName(rows.where("doc_id is null").select("text"))
-        sets = written(texts.mapInArrow(whole, "id long, grams array<long>").join(ids.select("id"), "id", "left_semi").dropDuplicates(["id"]), "shingles")
-        both = written(pairs.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("x")), "a"), "pairs-half")
-        both = both.join(sets.select(F.col("id").alias("b"), F.col("grams").alias("y")), "b")
+        grams = written(texts.mapInArrow(whole, "id long, grams array<long>").join(ids.select("id"), "id", "left_semi").dropDuplicates(["id"]), "shingles")
+        for end, values in (("a", "x"), ("b", "y")):
+            pairs = pairs.join(grams.select(F.col("id").alias(end), F.col("grams").alias(values)), end)
         same = F.size(F.array_intersect("x", "y"))
-        return written(both.where(same * (1 + similarity) >= (F.size("x") + F.size("y")) * similarity - 1e-9).select("a", "b"), "alike")
+        return written(pairs.where(same * (1 + similarity) >= (F.size("x") + F.size("y")) * similarity - 1e-9).select("a", "b"), "alike")
 
-    links = alike(beside)
+    links = alike(beside.unionByName(_print_links(sets)))
     groups = written(connected_components(links, "a", "b"), "beside-groups")
-    grouped = members.join(groups, F.col("id") == F.col("node"), "left").select("gram", F.struct("id", "n", F.coalesce("component", "id").alias("component"), "place").alias("m"))
-    mixed = grouped.groupBy("gram").agg(F.collect_list("m").alias("members"), F.min("m.component").alias("lo"), F.max("m.component").alias("hi")).where("lo <> hi")
-    links = links.unionByName(alike(mixed.select("members").mapInArrow(_crossing(similarity), "a long, b long")))
+    grouped = members.join(groups, F.col("id") == F.col("node"), "left").select("gram", "id", "n", F.coalesce("component", "id").alias("component"), "place")
+    mixed = grouped.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("sets")).where("lo <> hi")
+    mixed = written(mixed.select(F.col("gram").alias("g"), F.ceil(F.col("sets") / BLOCK).cast("int").alias("blocks")), "mixed")
+    met = grouped.join(mixed, F.col("gram") == F.col("g")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    met = met.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.groupBy("gram", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high")).agg(F.collect_list(F.struct("id", "n", "component", "place")).alias("members"))
+    links = links.unionByName(alike(met.select("members").mapInArrow(_crossing(similarity), "a long, b long")))
     groups = written(connected_components(links, "a", "b"), "copy-groups")
-    least = written(groups.join(first, F.col("node") == F.col("id")).groupBy("component").agg(F.min("first_id").alias("group_id")), "copy-leasts")
-    moved = groups.join(least, "component").select(F.col("node").alias("id"), "group_id")
-    found = written(first.join(moved, "id", "left").select("id", F.coalesce("group_id", "first_id").alias("component_id")), "copies")
-    return every.select("doc_id", "id").join(found, "id").select("doc_id", "component_id")
+    least = written(groups.join(sets, F.col("node") == F.col("id")).groupBy("component").agg(F.min("first_id").alias("group_id")), "copy-leasts")
+    moved = groups.join(least, "component").select(F.col("node").alias("id"), F.col("component").alias("moved"), "group_id")
+    found = sets.join(moved, "id", "left").select("id", F.coalesce("moved", "id").alias("group"), F.when(F.col("moved").isNull(), F.col("first_id")).otherwise(F.col("group_id")).alias("component_id"))
+    return every.select("doc_id", *own, F.col("set_id").alias("id")).join(written(found, "copies"), "id").select("doc_id", *own, "group", "component_id")
+
+
+def one_of_each(docs: DataFrame, *, text: str = "text", key: str = "doc_id", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs with one row of each group of near copies: that with the smallest doc_id (null last); of equal keys, that with the smallest hash of its text.
+
+    All columns stay.  Of rows that are repeated with key and text, one stays.
+    """
+    mark, rank = free_name("mark", docs.columns), free_name("rank", docs.columns)
+    marked = docs.withColumn(mark, F.xxhash64(F.col(text).cast("string")))
+    rows = marked.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.col(mark).alias("mark"))
+    rows = written(near_groups(rows, shingle, similarity).groupBy("group", "doc_id", "mark").agg(F.count("*").alias("times")), "marked")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
+    first = written(rows.groupBy("group").agg(F.min(order).alias("first")).select(F.col("group").alias("g"), "first"), "firsts")
+    placed = rows.join(first, F.col("group") == F.col("g")).select("doc_id", "mark", "times", (order == F.col("first")).alias("is_first"))
+    # what changes is few: rows that go, and rows that are kept once of several
+    few = written(placed.where("not is_first or times > 1").select(F.col("doc_id").alias("few_id"), F.col("mark").alias("few_mark"), "is_first"), "dropped")
+    same = F.col(key).cast("long").eqNullSafe(F.col("few_id")) & (F.col(mark) == F.col("few_mark"))
+    out = marked.join(few.select("few_id", "few_mark"), same, "left_anti").select(docs.columns)
+    repeated = few.where("is_first").select("few_id", "few_mark")
+    if repeated.isEmpty():
+        return out
+    once = Window.partitionBy(key, mark).orderBy(*[F.hash(c) for c in docs.columns])
+    kept = marked.join(repeated, same, "left_semi").withColumn(rank, F.row_number().over(once)).where(F.col(rank) == 1)
+    return out.unionByName(kept.select(docs.columns))
+
+
+def _print_links(sets: DataFrame) -> DataFrame:
+    """(a, b) of sets whose fingerprints are equal or within two bits, through the least set of a fingerprint."""
+    prints = written(sets.groupBy("fp").agg(F.min("id").alias("least")), "prints")
+    equal = sets.select("id", "fp").join(prints, "fp").where("id <> least").select("id", "least")
+    near = simhash.near_links(prints.select("fp"))
+    for end in ("src", "dst"):
+        near = near.join(prints.select(F.col("fp").alias(end), F.col("least").alias(f"{end}_id")), end)
+    both = equal.unionByName(near.select(F.col("src_id").alias("id"), F.col("dst_id").alias("least")))
+    return both.select(F.least("id", "least").alias("a"), F.greatest("id", "least").alias("b"))

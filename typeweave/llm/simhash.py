@@ -29,19 +29,22 @@ SEED = 42
 BLOCKS = 9
 
 
-def _fingerprint(text: str | None, size: int) -> int:
-    """Bits set in over half of the shingles' XXH64 values; no words: 0."""
+def shingle_hashes(text: str | None, size: int) -> np.ndarray:
+    """XXH64 of a text's shingles, repeats included; fewer words than a shingle are one, no words none."""
     words = words_of(text)
     if not words:
-        return 0
-    digest, n = xxhash.xxh64_intdigest, len(words)
+        return np.zeros(0, np.uint64)
+    digest, n, joined = xxhash.xxh64_intdigest, len(words), b" ".join(words)
     if n <= size:
-        hashes = np.array([digest(b" ".join(words), SEED)], dtype=np.uint64)
-    else:
-        joined, ends = b" ".join(words), np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1)
-        starts = np.concatenate([[0], ends[: n - size]]).tolist()
-        stops = (ends[size - 1 :] - 1).tolist()
-        hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)), np.uint64, n - size + 1)
+        return np.array([digest(joined, SEED)], dtype=np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1)
+    starts = np.concatenate([[0], ends[: n - size]]).tolist()
+    stops = (ends[size - 1 :] - 1).tolist()
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)), np.uint64, n - size + 1)
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """Bits set in over half of the values; without any: 0."""
     bits = 2 * _bit_counts(hashes) > len(hashes)
     return int((bits.astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(dtype=np.uint64))
 
@@ -66,7 +69,7 @@ def fingerprints(docs: DataFrame, *, text: str = "text", key: str = "doc_id", sh
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([_fingerprint(x.as_py(), shingle) for x in batch.column(1)], dtype=np.uint64)
+            found = np.array([fingerprint_of(shingle_hashes(x.as_py(), shingle)) for x in batch.column(1)], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
