@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from typeweave.operators.fixpoint import checkpointed, written
+from typeweave.operators.fixpoint import discard, written
 from typeweave.sources.package import ship
 
 #: Edges that a task contracts by itself, about.
@@ -61,10 +61,10 @@ def _settled(links: DataFrame) -> bool:
     return each.where("below > 1 or (below = 1 and above = 1)").isEmpty()
 
 
-def _hang(edges: DataFrame) -> DataFrame:
-    """Each (u, v) with the minimum of u's neighbourhood, u included."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return edges.join(checkpointed(least), "u")
+def _hang(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Each (u, v) with the minimum of u's neighbourhood, u included; and the table of minima, written."""
+    least = written(edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+    return edges.join(least, "u"), least
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", *, max_rounds: int = 60) -> DataFrame:
@@ -83,12 +83,14 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", *
         if _settled(links):
             break
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _hang(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        small = _hang(checkpointed(large))
-        links = checkpointed(
-            small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        )
-        links = _contracted(links, links.count())
+        hung, least = _hang(both)
+        large = written(hung.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
+        discard(least)
+        small, least = _hang(large)
+        after = written(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "links")
+        discard(large, least, links)
+        links = _contracted(after, after.count())
+        discard(after)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     stars = links.select(F.col("u").alias("node"), F.col("v").alias("component"))

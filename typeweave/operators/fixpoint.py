@@ -14,10 +14,12 @@ _SCRATCH: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset and all run on one machine."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     key = spark.sparkContext.applicationId
     if key not in _OWN:
         _OWN[key] = os.path.join(tempfile.gettempdir(), "typeweave-shared", key)
@@ -48,15 +50,30 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """As `checkpointed`, but columnar and compressed: for tables that later steps read in part."""
     path = f"{scratch_dir(df.sparkSession)}/{uuid.uuid4().hex}-{name}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that `written` returned and that nothing reads any more."""
+    for df in tables:
+        if path := getattr(df, "written_to", None):
+            context = df.sparkSession.sparkContext
+            folder = context._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def iterate(state: DataFrame, step: Callable[[DataFrame], DataFrame], measure: Callable[[DataFrame], object], *, max_rounds: int, what: str) -> DataFrame:
-    """Apply `step` until `measure` (a few scalars, computed by Spark) repeats; more than `max_rounds` is an error."""
-    state = checkpointed(state)
+    """Apply `step` until `measure` (a few scalars, computed by Spark) repeats; more than `max_rounds` is an error.
+
+    Of the rounds' tables only the last stays.
+    """
+    state = written(state, "round")
     before = measure(state)
     for _ in range(max_rounds):
-        state = checkpointed(step(state))
+        last, state = state, written(step(state), "round")
+        discard(last)
         after = measure(state)
         if after == before:
             return state

@@ -27,6 +27,8 @@ def sweep(rows: DataFrame, edges: DataFrame, roots: DataFrame, *, key: str = "go
             if front.isEmpty():
                 break
             marked = checkpointed(marked.unionByName(front))
+        else:
+            raise RuntimeError(f"the sweep did not settle in {max_rounds} rounds")
         alive = marked
     else:
         before = alive.count()
@@ -37,4 +39,6 @@ def sweep(rows: DataFrame, edges: DataFrame, roots: DataFrame, *, key: str = "go
             if now == before:
                 break
             before = now
+        else:
+            raise RuntimeError(f"the sweep did not settle in {max_rounds} rounds")
     return rows.join(alive.withColumnRenamed("goff", "alive_"), F.col(key) == F.col("alive_"), "left_semi")

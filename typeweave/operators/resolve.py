@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from typeweave.operators.fixpoint import checkpointed
+from typeweave.operators.fixpoint import checkpointed, discard, written
 
 #: Chains longer than this are taken for cycles.
 MAX_DEPTH = 1000
@@ -93,21 +93,33 @@ def tree_size(tree: Column, pointer: int, ptmd: int, ptmf: int) -> Column:
     return F.struct(F.when(under["op"] == "base", under["ref"]).alias("ref"), factor.alias("factor"), (fixed * factor).cast("long").alias("fixed"))
 
 
-def resolve_sizes(types: DataFrame, *, pointer: int = 8, ptmd: int = 8, ptmf: int = 16, max_rounds: int = 50) -> DataFrame:
+def resolve_sizes(types: DataFrame, *, pointer: int = 8, ptmd: int = 8, ptmf: int = 16) -> DataFrame:
     """(goff, byte_size) of (goff, byte_size, target, tree): own size, else the target's, else the tree's.
 
-    Each round resolves the rows whose reference is resolved; what never
-    resolves (unsized, dangling or cyclic) stays null.
+    Each round resolves the rows whose reference is resolved, and lets the others refer
+    to what their reference refers to, with the factors multiplied: so the depth that
+    is resolved doubles, and a round that resolves nothing is the last.  What never
+    resolves (unsized, dangling, cyclic, or beyond 64 bits) stays null.
     """
     size = tree_size(F.col("tree"), pointer, ptmd, ptmf)
     need = types.select("goff", F.col("byte_size").cast("long").alias("own"), F.when(F.col("tree").isNotNull(), size).alias("s"), "target")
     need = need.select("goff", F.coalesce("own", "s.fixed").alias("size"), F.coalesce("target", "s.ref").alias("ref"), F.coalesce("s.factor", F.lit(1)).alias("factor"))
-    state = checkpointed(need)
+    state = written(need, "sizes")
     known = state.where("size is not null").count()
-    for _ in range(max_rounds):
-        there = state.where("size is not null").select(F.col("goff").alias("g2"), F.col("size").alias("size2"))
+    while True:
+        there = state.select(F.col("goff").alias("g2"), F.col("size").alias("size2"), F.col("ref").alias("ref2"), F.col("factor").alias("factor2"))
         got = state.join(there, F.col("ref") == F.col("g2"), "left")
-        state = checkpointed(got.select("goff", F.coalesce("size", F.col("size2") * F.col("factor")).alias("size"), "ref", "factor"))
+        on = F.col("size").isNull() & F.col("size2").isNull()  # rows without a reference, or a dangling one, lose it
+        last, state = state, written(
+            got.select(
+                "goff",
+                F.coalesce("size", F.try_multiply("size2", "factor")).alias("size"),
+                F.when(on, F.col("ref2")).alias("ref"),
+                F.when(on, F.try_multiply("factor", "factor2")).otherwise(F.col("factor")).alias("factor"),
+            ),
+            "sizes",
+        )
+        discard(last)
         now = state.where("size is not null").count()
         if now == known:
             break

@@ -58,6 +58,8 @@ def spellings(templated: DataFrame, names: DataFrame, *, max_rounds: int = 32) -
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"spellings did not settle in {max_rounds} rounds")
     many = found.where(F.size("names") > N.MOST_SPELLINGS)
     audit = many.select("goff", F.lit("too many spellings").alias("rule"), F.size("names").cast("string").alias("detail"))
     return found.select("goff", F.explode(F.slice("names", 1, N.MOST_SPELLINGS)).alias("name")), audit

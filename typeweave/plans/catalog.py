@@ -17,6 +17,7 @@ from typeweave.functions import notation
 from typeweave.functions import tokens as T
 from typeweave.operators import dedupe, flatten, gc, layout, merge, namespace, resolve, symbols
 from typeweave.operators.components import connected_components
+from typeweave.plans.extract import kind_counts
 from typeweave.sources.package import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,11 +58,6 @@ def kinded_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("goff"), kind.alias("kind"), F.col("p_name").alias("name"), "p_brand", "p_type", "p_size")
 
 
-@query("q01_tag_filter", "SELECT event_id, event_type FROM events WHERE event_type IN ('view', 'click', 'purchase')")
-def q01(spark, d):
-    return table(spark, d, "events").where(F.col("event_type").isin("view", "click", "purchase")).select("event_id", "event_type")
-
-
 @query(
     "q02_listing_last_wins",
     "SELECT o_custkey::VARCHAR AS symbol, (arg_max(o_orderkey, o_orderkey) - 10)::BIGINT AS address FROM orders WHERE o_orderkey >= 10 GROUP BY o_custkey",
@@ -263,12 +259,7 @@ def q16(spark, d):
 
 @query("q16_merge_counts", f"SELECT kind, count(*) AS n FROM ({MERGED}) GROUP BY kind")
 def q16_counts(spark, d):
-    return merged_parts(spark, d).groupBy("kind").agg(F.count("*").alias("n"))
-
-
-@query("q17_shape_audit", "SELECT p_name, p_type, count(DISTINCT p_size)::BIGINT AS shapes FROM part GROUP BY ALL HAVING count(DISTINCT p_size) > 1")
-def q17(spark, d):
-    return table(spark, d, "part").groupBy("p_name", "p_type").agg(F.count_distinct("p_size").alias("shapes")).where("shapes > 1")
+    return kind_counts(merged_parts(spark, d))
 
 
 @query(
@@ -302,11 +293,6 @@ def q19_mutual(spark, d):
     return merge.without_mutual(nation_edges(spark, d))
 
 
-@query("q20_rounds", WALK + "SELECT depth AS round, count(*) AS n FROM ends GROUP BY depth")
-def q20(spark, d):
-    return resolve.chase(linked_parts(spark, d), key="p_partkey", target="parent").groupBy(F.col("depth").alias("round")).agg(F.count("*").alias("n"))
-
-
 def slots(spark, d):
     orders = table(spark, d, "orders").withColumn("slot", F.substring("o_orderpriority", 1, 1).cast("long"))
     return layout.merge_slots(orders, group="o_custkey", index="slot", name="o_orderstatus", order="o_orderkey")
@@ -368,12 +354,6 @@ def q23(spark, d):
     return symbols.overlay(data, functions)
 
 
-@query("q24_required_join", "SELECT o_orderpriority, count(*) AS n_lines, count(DISTINCT o_orderkey) AS n_orders FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1")
-def q24(spark, d):
-    joined = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    return joined.groupBy("o_orderpriority").agg(F.count("*").alias("n_lines"), F.count_distinct("o_orderkey").alias("n_orders"))
-
-
 @query(
     "q25_members_by_type",
     """SELECT source, lang, arg_min(quality::VARCHAR, doc_id) FILTER (WHERE quality IS NOT NULL) AS name, min(doc_id) AS ord
@@ -418,12 +398,12 @@ def q27(spark, d):
 
 @query(
     "q28_ambiguous_sources",
-    r"""SELECT host, count(DISTINCT scheme) AS schemes, count(*) AS n FROM (
-  SELECT regexp_extract(url, '^(\w+)://', 1) AS scheme, regexp_extract(url, '^\w+://([^/?#]+)', 1) AS host FROM pages) GROUP BY host""",
+    r"""SELECT cu_offset, src FROM (SELECT DISTINCT doc_id % 3 AS cu_offset, source || '::' || lang AS src FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL)""",
 )
 def q28(spark, d):
-    parts = table(spark, d, "pages").select(F.regexp_extract("url", r"^(\w+)://", 1).alias("scheme"), F.regexp_extract("url", r"^\w+://([^/?#]+)", 1).alias("host"))
-    return parts.groupBy("host").agg(F.count_distinct("scheme").alias("schemes"), F.count("*").alias("n"))
+    segment = lambda c: F.struct(F.lit("namespace").alias("k"), F.lit(None).cast("bigint").alias("goff"), F.col(c).alias("s"), F.lit(False).alias("linkage"))
+    spaces = table(spark, d, "documents").where("source is not null and lang is not null").select((F.col("doc_id") % 3).alias("cu_offset"), F.array(segment("source"), segment("lang")).alias("namespace"))
+    return namespace.source_index(spaces)[0].select("cu_offset", "src")
 
 
 @query(
@@ -557,11 +537,6 @@ def q38(spark, d):
     return read.select("p_partkey", notation.notation(F.col("tree")).alias("again"), notation.display(F.col("tree")).alias("shown"))
 
 
-@query("q39_kind_counts", f"SELECT {CLASS} || CASE WHEN p_size < 5 THEN '_decl' ELSE '' END AS kind, count(*) AS n FROM part GROUP BY ALL")
-def q39(spark, d):
-    return kinded_parts(spark, d).groupBy("kind").agg(F.count("*").alias("n"))
-
-
 def order_trees(spark, d):
     lines = table(spark, d, "lineitem")
     made = layout.ordered_members(lines, group="l_orderkey", order=["l_linenumber", "l_partkey", "l_suppkey"], value=F.col("l_partkey"))
@@ -599,8 +574,11 @@ def q41(spark, d):
 
 
 def queries() -> dict[str, Query]:
+    from typeweave.plans import loaders  # noqa: F401, PLC0415  adds its own
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_SQL)
