@@ -3,8 +3,12 @@
 Every source gets a target in words: its weight's part of `share` times all
 words, but at most `cap` times what it has; what a full source leaves over goes
 to the others by weight.  A document first gets the whole copies that its
-source's ratio makes certain; the rest is a sample ordered by random odds over
-inclusion odds, cut where the source's words come nearest its target.
+source's ratio makes certain; the rest is a sample with unequal chances, which go
+with what the mix favours (by default longer documents, by their size's number
+of binary digits) and are set so that the words to be expected are the words
+that are left; documents whose chance comes to 1 are certain as well.  The
+others are ordered by random odds over inclusion odds, and cut where the
+source's words come nearest its target.
 """
 
 from __future__ import annotations
@@ -19,6 +23,8 @@ from typeweave.operators.fixpoint import written
 
 #: Order keys are cut into so many bins a source, and the bin at a source's cut again; only the last bin at the cut is sorted.
 BINS, LEVELS = 256, 2
+#: The most that a document can be favoured, against 1.
+FAVOURS = 64
 
 
 def source_targets(sized: DataFrame, *, weights: tuple[int, ...], share: Fraction, cap: int) -> DataFrame:
@@ -46,9 +52,30 @@ def source_targets(sized: DataFrame, *, weights: tuple[int, ...], share: Fractio
     return filled.select("source", "source_size", target.alias("target"))
 
 
-def draw(seed: str, key: Column) -> Column:
-    """A number in (0, 1) that depends on seed and key only."""
-    digest = F.md5(F.concat(F.lit(seed + "|"), F.coalesce(key.cast("string"), F.lit("null"))).cast("binary"))
+def chances(classes: DataFrame, per_source: DataFrame) -> DataFrame:
+    """(source, favour, words) and `source_targets` -> (s, f, source_size, target, whole, rest, chance) for each source and favour.
+
+    whole copies are certain; the chance of a further one goes with favour, at a level at which the words to be
+    expected are what the target still lacks.  Favours that the level would lift above 1 are certain;
+    rest is what remains for the others.  There are no more rows than favours for a source.
+    """
+    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    shares = per_source.withColumn("whole", F.floor(ratio)).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
+    down = Window.partitionBy("source").orderBy(F.desc("favour"))
+    both = classes.join(shares.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
+    both = both.withColumn("above", F.coalesce(F.sum("words").over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    weighed = F.sum(F.col("favour") * F.col("words")).over(down.rowsBetween(0, Window.unboundedFollowing))
+    both = both.withColumn("level", F.when(weighed > 0, (F.col("rest") - F.col("above")) / weighed))
+    first = F.max(F.when(F.col("level") * F.col("favour") <= 1, F.struct("favour", "level", "above"))).over(Window.partitionBy("source"))
+    chance = F.when(F.col("favour") > F.col("first.favour"), 1.0).otherwise(F.coalesce(F.col("first.level") * F.col("favour"), F.lit(0.0)))
+    rest = F.col("rest") - F.coalesce("first.above", F.lit(0))
+    return both.withColumn("first", first).select("s", F.col("favour").alias("f"), "source_size", "target", "whole", rest.alias("rest"), chance.alias("chance"))
+
+
+def draw(seed: str, key: Column, text: Column) -> Column:
+    """A number in (0, 1) that depends on seed, key and text only."""
+    whole = F.concat_ws("|", F.lit(seed), F.coalesce(key.cast("string"), F.lit("null")), F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary")))
+    digest = F.md5(whole.cast("binary"))
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(2**52)
 
 
@@ -68,38 +95,33 @@ def pareto_mix(
 
     size counts the words of the text (null or empty: 0), taken the words that
     the mix takes, repeats counted: a whole multiple of size, at most cap times it.
-    `favour`, a column of docs that is above 0, makes the inclusion odds of a
-    source's documents unequal (default: equal); null or lower counts as 1.
+    `favour`, a column of docs, is cut to whole numbers from 1 to 64, to which the chances of a
+    source's documents are proportional (default: binary digits of the size); null counts as 1.
     A null source is a source of its own; null or repeated keys are drawn like
-    others, equal rows in any order; other columns of docs are ignored.
+    others, apart by their texts, equal rows in any order; other columns of docs are ignored.
     Reruns agree, whatever the partitioning.  No documents: no rows.
     """
-    liked = F.coalesce(F.when(favour > 0, favour), F.lit(1.0)).cast("double") if favour is not None else F.lit(1.0)
+    size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
+    liked = F.coalesce(favour.cast("int"), F.lit(1)) if favour is not None else F.length(F.bin(size))
     sized = written(
         docs.select(
             F.col(key).alias("doc_id"),
             F.col(source).cast("string").alias("source"),
-            F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-            draw(seed, F.col(key)).alias("u"),
-            liked.alias("liked"),
+            size.alias("size"),
+            draw(seed, F.col(key), F.col(text)).alias("u"),
+            F.least(F.greatest(liked, F.lit(1)), F.lit(FAVOURS)).alias("favour"),
         ),
         "sized",
     )
-    per_source = source_targets(sized, weights=weights, share=share, cap=cap)
-    shares = (
-        per_source.withColumn("ratio", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
-        .withColumn("whole", F.floor("ratio"))
-        .withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
-        .withColumn("part", F.col("ratio") - F.col("whole"))
-        .withColumnRenamed("source", "s")
-    )
-    shares = written(shares, "shares")  # written, a small table is joined without moving the documents
-    odds = F.col("part") / (1 - F.col("part")) * F.col("liked")
-    keyed = sized.join(shares, F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    keyed = keyed.withColumn("order_key", F.when(F.col("part") > 0, F.col("u") / (1 - F.col("u")) / odds))
+    classes = written(sized.groupBy("source", "favour").agg(F.sum("size").alias("words")), "classes")
+    per_source = source_targets(classes.withColumnRenamed("words", "size"), weights=weights, share=share, cap=cap)
+    shares = written(chances(classes, per_source), "shares")  # written, a small table is joined without moving the documents
+    keyed = sized.join(shares, F.col("source").eqNullSafe(F.col("s")) & (F.col("favour") == F.col("f"))).drop("s", "f")
+    odds = F.col("chance") / (1 - F.col("chance"))
+    keyed = keyed.withColumn("order_key", F.when((F.col("chance") > 0) & (F.col("chance") < 1), F.col("u") / (1 - F.col("u")) / odds))
     keyed = keyed.withColumn("z", F.col("order_key") / (1 + F.col("order_key")))
     columns = ["doc_id", "size", "source_size", "target", ((F.col("whole") + F.col("extra")) * F.col("size")).cast("long").alias("taken")]
-    out = keyed.where("z is null").withColumn("extra", F.lit(0)).select(*columns)
+    out = keyed.where("z is null").withColumn("extra", F.floor("chance")).select(*columns)
     left = keyed.where("z is not null").select("doc_id", "source", "size", "source_size", "target", "whole", "rest", "z")
     for level in range(LEVELS):
         left = left.withColumn("bin", F.least(F.floor(F.col("z") * BINS), F.lit(BINS - 1))).withColumn("z", F.col("z") * BINS - F.col("bin"))
@@ -112,7 +134,7 @@ def pareto_mix(
         clear = placed.where("cut_bin is null or bin <> cut_bin").withColumn("extra", F.when(F.col("bin") > F.col("cut_bin"), 0).otherwise(1))
         out = out.unionByName(clear.select(*columns))
         left = placed.where("bin = cut_bin").withColumn("rest", F.col("rest") - F.col("below")).drop("bin", "cut_bin", "below")
-    after = F.sum("size").over(Window.partitionBy("source").orderBy("z", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    after = F.sum("size").over(Window.partitionBy("source").orderBy("z", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0))
     nearer = 2 * F.col("after") - F.col("size") <= 2 * F.col("rest")
     edge = left.withColumn("after", after).withColumn("extra", nearer.cast("int"))
     return out.unionByName(edge.select(*columns))

@@ -23,10 +23,12 @@ FROM hit JOIN item_size USING (item_id) WHERE n_shared >= ceil(0.8 * n_item - 1e
 """
 
 MIXING = r"""
-WITH sized AS (
+WITH counted AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-    (('0x' || substr(md5('mix|' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u
+    (('0x' || substr(md5('mix|' || coalesce(doc_id::VARCHAR, 'null') || '|' || md5(coalesce(text, ''))), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u
   FROM documents
+), sized AS (
+  SELECT *, length(bin(size))::BIGINT AS favour FROM counted
 ), totals AS (
   SELECT source, sum(size)::BIGINT AS source_size, [3, 1, 2][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::BIGINT AS weight FROM sized GROUP BY source
 ), filled AS (
@@ -37,18 +39,29 @@ WITH sized AS (
 ), level AS (
   SELECT arg_min(left_size::DOUBLE / (2 * left_weight)::DOUBLE, place) AS level FROM filled WHERE left_size * weight <= 4 * source_size * left_weight
 ), share AS (
-  SELECT source, source_size, target, ratio, floor(ratio) AS whole, target - floor(ratio) * source_size AS rest, ratio - floor(ratio) AS part
+  SELECT source, source_size, target, floor(ratio) AS whole, target - floor(ratio) * source_size AS rest
   FROM (SELECT source, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS ratio
         FROM (SELECT source, source_size, least((2 * source_size)::DOUBLE, coalesce(level * weight, 0.0)) AS target FROM filled, level))
+), ladder AS (
+  SELECT c.source, c.favour, rest,
+    coalesce(sum(words) OVER (PARTITION BY c.source ORDER BY c.favour DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS above,
+    (sum(c.favour * words) OVER (PARTITION BY c.source ORDER BY c.favour DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS weighed
+  FROM (SELECT source, favour, sum(size)::BIGINT AS words FROM sized GROUP BY source, favour) c JOIN share ON c.source IS NOT DISTINCT FROM share.source
+), open AS (
+  SELECT source, max(favour) AS open_from, arg_max((rest - above) / weighed, favour) AS per_favour, arg_max(above, favour) AS certain
+  FROM ladder WHERE weighed > 0 AND (rest - above) / weighed * favour <= 1 GROUP BY source
 ), keyed AS (
-  SELECT sized.*, share.* EXCLUDE (source), CASE WHEN part > 0 THEN u / (1 - u) / (part / (1 - part)) END AS q
-  FROM sized JOIN share ON sized.source IS NOT DISTINCT FROM share.source
+  SELECT sized.*, source_size, target, whole, rest - coalesce(certain, 0) AS rest,
+    CASE WHEN favour > open_from THEN 1.0::DOUBLE ELSE coalesce(per_favour * favour, 0.0)::DOUBLE END AS chance
+  FROM sized JOIN share ON sized.source IS NOT DISTINCT FROM share.source LEFT JOIN open ON sized.source IS NOT DISTINCT FROM open.source
+), drawn AS (
+  SELECT *, u / (1 - u) / (chance / (1 - chance)) AS q FROM keyed WHERE chance > 0 AND chance < 1
 ), ordered AS (
-  SELECT *, q / (1 + q) AS z, sum(size) OVER (PARTITION BY source ORDER BY q / (1 + q), doc_id ROWS UNBOUNDED PRECEDING) AS after FROM keyed
+  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY q / (1 + q), doc_id, size ROWS UNBOUNDED PRECEDING) AS after FROM drawn
 )
-SELECT doc_id, size, source_size, target,
-  ((whole + CASE WHEN z IS NOT NULL AND 2 * after - size <= 2 * rest THEN 1 ELSE 0 END) * size)::BIGINT AS taken
-FROM ordered
+SELECT doc_id, size, source_size, target, ((whole + CASE WHEN 2 * after - size <= 2 * rest THEN 1 ELSE 0 END) * size)::BIGINT AS taken FROM ordered
+UNION ALL
+SELECT doc_id, size, source_size, target, ((whole + floor(chance)) * size)::BIGINT AS taken FROM keyed WHERE chance <= 0 OR chance >= 1
 """
 
 
