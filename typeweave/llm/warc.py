@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from typeweave.operators.fixpoint import checkpointed, scratch_dir, written
 
-#: Ranges closer than GAP are read at once, up to SPAN bytes.
-GAP, SPAN = 256 << 10, 8 << 20
+#: Ranges closer than GAP are read at once, up to SPAN bytes; bytes that a task reads, about.
+GAP, SPAN, TASK = 256 << 10, 8 << 20, 4 << 20
 INDEX = "archive string, offset long, length long, url string, digest string, record_type string, page_id long"
 RECORDS = "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
 _INDEX_TYPES = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64()]
@@ -88,12 +88,13 @@ def write_archives(pages: DataFrame, folder: str, *, page: str = "page_id", url:
     """
     payload = F.coalesce(F.col(html).cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col(page).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), payload.alias("payload"))
-    rows = rows.withColumn("sha1", F.sha1("payload"))
+    rows = rows.withColumn("sha1", F.unhex(F.sha1("payload")))
     light = rows.where(F.octet_length("payload") >= revisit_from).select("page_id", "sha1")
     groups = light.groupBy("sha1").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1 and first_id is not null")
     groups = checkpointed(groups.select("sha1", "first_id"))
     later = light.join(groups, "sha1").where("page_id is null or page_id <> first_id").distinct()
     later = later.select(F.col("page_id").alias("later_id"), F.col("sha1").alias("later_sha1"), "first_id")
+    later = written(later, "revisits")  # its size then decides whether payloads are moved to it or it to them
     marked = rows.join(later, F.col("page_id").eqNullSafe(F.col("later_id")) & (F.col("sha1") == F.col("later_sha1")), "left")
     fs, root = _filesystem(folder)
     fs.create_dir(root, recursive=True)
@@ -106,7 +107,7 @@ def write_archives(pages: DataFrame, folder: str, *, page: str = "page_id", url:
                 found = []
                 for i in range(batch.num_rows):
                     ident, link, body, sha1, later, first = (batch.column(k)[i].as_py() for k in range(6))
-                    digest = base64.b32encode(bytes.fromhex(sha1)).decode()
+                    digest = base64.b32encode(sha1).decode()
                     squeeze = zlib.compressobj(1, zlib.DEFLATED, 31)
                     member = squeeze.compress(record(ident, link, body, digest, first, later)) + squeeze.flush()
                     out = out or fs.open_output_stream(f"{root}/{name}", compression=None)
@@ -160,7 +161,8 @@ def read_records(index: DataFrame, *, payload: bool = True) -> DataFrame:
         for f in files.values():
             f.close()
 
-    ordered = index.select("archive", "offset", "length").repartitionByRange("archive", "offset").sortWithinPartitions("archive", "offset")
+    size = index.agg(F.sum("length")).first()[0] or 0
+    ordered = index.select("archive", "offset", "length").repartitionByRange(int(size // TASK) + 1, "archive", "offset").sortWithinPartitions("archive", "offset")
     return ordered.mapInArrow(run, RECORDS)
 
 
