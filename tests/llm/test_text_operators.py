@@ -81,6 +81,35 @@ def test_mixing_favours_documents(spark):
     assert sum(part[True]) / len(part[True]) > 1.5 * sum(part[False]) / len(part[False])
 
 
+def test_mixing_chances_meet_the_odds(spark):
+    """Over many seeds documents of each size are taken as often as their chance says, and the chances add up to the words wanted."""
+    rng = random.Random(6)
+    rows = [(i, "w " * rng.choice([1, 3, 9, 40]), "en", "abc"[i % 3]) for i in range(900)]
+    df = docs_of(spark, rows).coalesce(1).cache()
+    sized = df.select(F.col("source"), F.length(F.bin(F.regexp_count("text", F.lit("w")))).alias("favour"), F.regexp_count("text", F.lit("w")).cast("long").alias("size"))
+    classes = sized.groupBy("source", "favour").agg(F.sum("size").alias("words"))
+    targets = mixing.source_targets(sized, weights=(1, 9, 3), share=Fraction(3, 4), cap=2)
+    found = mixing.chances(classes, targets).join(classes.withColumnRenamed("source", "s").withColumnRenamed("favour", "f"), ["s", "f"]).collect()
+    for s in "abc":
+        own = [r for r in found if r["s"] == s]
+        assert sum((r["whole"] + r["chance"]) * r["words"] for r in own) == pytest.approx(own[0]["target"])
+        unsure = [r["chance"] / r["f"] for r in own if 0 < r["chance"] < 1]
+        assert not unsure or max(unsure) == pytest.approx(min(unsure)), "chances go with what is favoured"
+    want = {(r["s"], r["f"]): r["whole"] + r["chance"] for r in found}
+    often, runs = Counter(), 12
+    for seed in range(runs):
+        for r in mixing.pareto_mix(df, weights=(1, 9, 3), share=Fraction(3, 4), seed=str(seed)).collect():
+            often["abc"[r["doc_id"] % 3], r["size"].bit_length()] += r["taken"] / r["size"]
+    of = Counter((r[3], len(r[1].split()).bit_length()) for r in rows)
+    assert all(abs(often[k] / (of[k] * runs) - want[k]) < 0.06 for k in want)
+
+
+def test_mixing_draws_apart_what_shares_a_key(spark):
+    rows = [(7, f"one {i} " + "w " * (i % 5), "en", "a") for i in range(60)] + [(i, "w w", "en", "b") for i in range(100, 160)]
+    got = [sorted(map(tuple, mixing.pareto_mix(docs_of(spark, r).repartition(n), weights=(1, 3)).collect())) for r, n in ((rows, 1), (rows[::-1], 4))]
+    assert got[0] == got[1] and len({x[4] / x[1] for x in got[0] if x[0] == 7}) == 2
+
+
 def test_mixing_odd_rows(spark, odd):
     got = mixing.pareto_mix(odd).collect()
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["size"]) for r in got) == [(False, 1, 0), (False, 2, 0), (False, 3, 0), (False, 4, 1), (False, 4, 1), (False, 6, 1), (False, 7, 60000), (True, 0, 2)]
@@ -194,8 +223,8 @@ def test_containment_equals_brute_force(spark, odd):
     table = spark.createDataFrame(items, "item_id long, text string")
     want = brute_contained(docs, items)
     assert want
-    for block in (1 << 20, 300):
-        got = decontam.contained_items(rows, table, block_bytes=block)
+    for bits in (decontam.MOST_BITS, 64):  # full bitmaps find more candidates, not other results
+        got = decontam.contained_items(rows, table, most_bits=bits)
         assert sorted(tuple(r)[:4] for r in got.collect()) == want
     assert decontam.contained_items(odd, table).count() == 0
     assert decontam.contained_items(rows, table.limit(0)).count() == 0

@@ -31,8 +31,8 @@ SCRIPT_STARTS = [
     (0x3040, "kana"), (0x3100, "other"), (0x3400, "han"), (0xA000, "other"), (0xAC00, "hangul"), (0xD7B0, "other"), (0xF900, "han"), (0xFB00, "other"),
 ]
 _STARTS = [s for s, _ in SCRIPT_STARTS]
-#: Labelled texts that the model is fitted on, at most; words and trigrams that it keeps.
-SAMPLE, WORDS, TRIGRAMS = 20_000, 60_000, 60_000
+#: Labelled texts that the model is fitted on, at most; how often they must have a word, and a trigram, for it to say something of its own.
+SAMPLE, WORDS, TRIGRAMS = 20_000, 3, 2
 #: Cost, in nats, of a switch of language; the most that one word says; words whose scores a worker remembers.
 SWITCH, MOST, REMEMBERED = 8.0, 6.0, 200_000
 #: Words that are decoded together.
@@ -160,8 +160,9 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarr
 def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "doc_id", bound: int = SAMPLE) -> Model:
     """Fit on about `bound` texts with a language at most, chosen by a hash of key and text.
 
-    Counts of words and trigrams are kept for the commonest.  Without a labelled
-    text the model knows no language.
+    Words and trigrams that the sample has a few times only are left to the
+    smoothing.  Without a labelled text the model knows no language.  Null
+    languages and texts teach nothing; repeated rows are taken or left together.
     """
     usable = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(key, text).alias("h")).where("lang is not null and text is not null")
     total = usable.count()
@@ -204,21 +205,21 @@ def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "
     own = [F.coalesce(F.sum(F.when(F.col("lang") == x, F.col("n"))), F.lit(0)).alias(f"l{i}") for i, x in enumerate(langs)]
     per_item = counts.where("item is not null").groupBy("kind", "item").agg(F.sum("n").alias("n"), *own)
 
-    def collected(kind: str, limit: int) -> tuple[list[str], np.ndarray]:
-        """The commonest items and their counts by language; through Arrow, which takes less memory than rows."""
-        top = per_item.where(F.col("kind") == kind).orderBy(F.desc("n"), "item").limit(limit).toArrow()
+    def collected(kind: str, least: int) -> tuple[list[str], np.ndarray]:
+        """The items that occur often enough and their counts by language; through Arrow, which takes less memory than rows."""
+        top = per_item.where((F.col("kind") == kind) & (F.col("n") >= least)).orderBy("item").toArrow()
         return top.column("item").to_pylist(), np.stack([top.column(f"l{i}").to_numpy() for i in range(len(langs))], axis=1).astype(float)
 
-    def table(kind: str, limit: int, smooth: float) -> tuple[dict[str, int], np.ndarray]:
+    def table(kind: str, least: int, smooth: float) -> tuple[dict[str, int], np.ndarray]:
         all_of = np.array([max(size.get((kind, x), 0), 1) for x in langs], float)
-        items, rows = collected(kind, limit)
-        scores = np.log((np.concatenate([np.zeros((1, len(langs))), rows]) + smooth) / (all_of + smooth * limit))
+        items, rows = collected(kind, least)
+        scores = np.log((np.concatenate([np.zeros((1, len(langs))), rows]) + smooth) / (all_of + smooth * (len(items) + 1)))
         scores -= scores.mean(axis=1, keepdims=True)
         scores[0] = 0
         return {x: i + 1 for i, x in enumerate(items)}, scores.astype(np.float32)
 
     scripts: dict[str, np.ndarray] = {}
-    for script, row in zip(*collected("script", len(SCRIPT_STARTS)), strict=True):
+    for script, row in zip(*collected("script", 1), strict=True):
         held = np.array([n >= 0.01 * size.get(("script", x), 1) and n > 0 for n, x in zip(row, langs, strict=True)])
         scripts[script] = held if held.any() else np.ones(len(langs), bool)
     return Model(langs, scripts, *table("word", WORDS, 0.5), *table("gram", TRIGRAMS, 0.5))

@@ -152,6 +152,8 @@ def _block(media: Media, data: bytes, body: int, end: int, base: int, keyframe:
     lacing = flags >> 1 & 3
     step = int(media.tracks.get(track or 0, {}).get("default_duration", 0) or 0)
     start = (base + relative) * media.scale
+    if abs(start) + 256 * step >= 1 << 62 or (track or 0) >= 1 << 62:
+        raise Damaged(f"a block at {body} has a time or track beyond 64 bits")
     key = bool(flags & 0x80) if keyframe is None else keyframe
     for i, (offset, length) in enumerate(laced(data, at + 3, end, lacing)):
         media.packets.append(Packet(media.clusters - 1, track or 0, start + i * step, key, LACING_NAMES[lacing], i, offset, length))
