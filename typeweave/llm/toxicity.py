@@ -19,7 +19,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -46,10 +46,13 @@ START = " " * (ORDER - 1)
 _LETTERS = re.compile(r"[^\W\d_]+")
 _DISGUISED = re.compile(r"[^\W\d_][^\s\w]*[0-9@$!|+*€#%&_.-][^\s\w]*[^\W_]|^[0-9@$!|+*€]+[^\W\d_]|[^\W\d_][0-9@$!|+€]|([^\W\d_])\1\1")
 _SPACED = re.compile(r"(?<!\S)\S(?:\s\S){2,}(?!\S)")
+_REPEATED = re.compile(r"(.)\1\1")
 _RUNS = re.compile(r"(.)\1*", re.DOTALL)
 _EDGE = ".,;:?\"'()[]{}<>"
+#: Marks around a word that never disguise it.
+_MARKS = ".,;:?\"()[]{}<>"
 #: Tokens that a worker remembers; names that a task counts before it passes them on.
-_CACHE, HELD = 150_000, 300_000
+_CACHE, HELD = 250_000, 400_000
 
 
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
@@ -86,25 +89,40 @@ class CharModel:
     counts: np.ndarray
     total: np.ndarray
     kinds: np.ndarray
-    memo: dict[tuple[str, str], float] = field(default_factory=dict)
+
+    def __post_init__(self) -> None:
+        self.views = [memoryview(np.ascontiguousarray(x, np.float32)) for x in (self.counts, self.total, self.kinds)]
+        self.contexts: dict[str, list[tuple[int, float, float]]] = {}
+        self.memo: dict[tuple[str, str], float] = {}
 
     @classmethod
     def empty(cls) -> CharModel:
         return cls(*(np.zeros(1 << CELL_BITS, np.float32) for _ in range(3)))
 
-    def at(self, context, c):
-        """Probability of c after context, by Witten and Bell's weights; unseen characters share the last resort.  Codes or arrays of codes."""
-        out = 1e-4
+    def at(self, context: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """Probability of c after context, by Witten and Bell's weights; unseen characters share the last resort.  Arrays of codes."""
+        out = np.full(len(context), 1e-4)
         for k in range(ORDER):
-            kind = int if isinstance(context, int) else np.uint64
-            own = context & kind(_CONTEXTS[k])
-            at, of = _cell(own, c + kind(1), k), _cell(own, c * kind(0), k)
-            kinds, rare = self.kinds[of], 1e-9
-            out = (self.counts[at] + (kinds + rare) * out) / (self.total[of] + kinds + rare)
+            own = context & np.uint64(_CONTEXTS[k])
+            at, of = _cell(own, c + np.uint64(1), k), _cell(own, c * np.uint64(0), k)
+            lean = self.kinds[of].astype(float) + 1e-9
+            out = (self.counts[at] + lean * out) / (self.total[of] + lean)
         return out
 
     def p(self, context: str, c: str) -> float:
-        return float(self.at(_code(context), ord(c) & 0xFFFF))
+        """The same for one context and character."""
+        counts, total, kinds = self.views
+        known = self.contexts.get(context)
+        if known is None:
+            if len(self.contexts) > 20_000:
+                self.contexts.clear()
+            code = _code(context)
+            cells = [(code & _CONTEXTS[k], _cell(code & _CONTEXTS[k], 0, k)) for k in range(ORDER)]
+            known = self.contexts[context] = [(own, total[of], kinds[of] + 1e-9) for own, of in cells]
+        out, x = 1e-4, (ord(c) & 0xFFFF) + 1
+        for k, (own, n, lean) in enumerate(known):
+            out = (counts[_cell(own, x, k)] + lean * out) / (n + lean)
+        return out
 
     def logp(self, context: str, c: str) -> float:
         found = self.memo.get((context, c))
@@ -242,15 +260,30 @@ class _Scores(dict):
     """Raw token -> weight of its strongest feature, 0 if none; filled on demand and emptied when full."""
 
     def __init__(self, lexicon: dict[str, float], model: CharModel | None) -> None:
-        self.lexicon, self.model = lexicon, model
+        self.model = model
+        self.words = {f: w for f, w in lexicon.items() if not f.endswith("-")}
+        self.begins = {f[:-1]: w for f, w in lexicon.items() if f.endswith("-")}
 
     def of_word(self, word: str) -> float:
-        return max((self.lexicon.get(f, 0.0) for f in features_of(word)), default=0.0)
+        """The weight of the strongest of features_of(word)."""
+        n, best, begins = len(word), self.words.get(word, 0.0), self.begins
+        if n > 4:
+            best = max(best, begins.get(word[:4], 0.0))
+            if n > 5:
+                best = max(best, begins.get(word[:5], 0.0))
+                if n > 6:
+                    best = max(best, begins.get(word[:6], 0.0))
+        return best
 
     def __missing__(self, token: str) -> float:
         if len(self) >= _CACHE:
             self.clear()
-        value = self[token] = max((self.of_word(w) for w in words_of(token, self.model)), default=0.0)
+        bare = token.lower().strip(_MARKS)
+        if bare.isalpha() and not _REPEATED.search(bare):  # a plain word, as most are
+            value = self.of_word(bare)
+        else:
+            value = max((self.of_word(w) for w in words_of(token, self.model)), default=0.0)
+        self[token] = value
         return value
 
     def text(self, text: str | None) -> list[float]:
@@ -287,14 +320,15 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
-def _counted(df: DataFrame, features, name: str) -> DataFrame:
+def _counted(df: DataFrame, features, name: str, kind: str = "string") -> DataFrame:
     """(name, n): over texts, how many have each feature that features(text) gives."""
+    arrow = pa.string() if kind == "string" else pa.binary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter[str] = Counter()
 
         def out() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], [name, "n"])
+            batch = pa.RecordBatch.from_arrays([pa.array(held.keys(), arrow), pa.array(held.values(), pa.int64())], [name, "n"])
             held.clear()
             return batch
 
@@ -305,7 +339,7 @@ def _counted(df: DataFrame, features, name: str) -> DataFrame:
                     yield out()
         yield out()
 
-    return df.select("text").mapInArrow(run, f"{name} string, n long").groupBy(name).agg(F.sum("n").alias("n"))
+    return df.select("text").mapInArrow(run, f"{name} {kind}, n long").groupBy(name).agg(F.sum("n").alias("n"))
 
 
 def _sequences(words: list[str], times: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -334,7 +368,7 @@ def character_model(docs: DataFrame) -> CharModel:
         for batch in batches:
             words, times = [], []
             for token, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = _LETTERS.findall(token)
+                found = _LETTERS.findall(token.decode().lower())
                 words += found
                 times += [n] * len(found)
             k, context, c, n = _sequences(words, times)
@@ -351,7 +385,7 @@ def character_model(docs: DataFrame) -> CharModel:
                 for columns in ((at, n[own], zero, zero), (of, zero, n[own], one)):
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["cell", "counts", "total", "kinds"])
 
-    tokens = _counted(docs, lambda x: x.lower().split() if x else (), "token")
+    tokens = _counted(docs, lambda x: x.encode().split() if x else (), "token", "binary")
     grams = tokens.mapInArrow(sequences, "k int, context long, c int, n long").groupBy("k", "context", "c").agg(F.sum("n").alias("n"))
     found = grams.mapInArrow(cells, "cell long, counts long, total long, kinds long").groupBy("cell").agg(*[F.sum(x).alias(x) for x in ("counts", "total", "kinds")]).toArrow()
     out, at = CharModel.empty(), found.column("cell").to_numpy()
