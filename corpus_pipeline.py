@@ -12,8 +12,10 @@ from typeweave.operators.fixpoint import written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below the threshold; null and empty texts stay."""
+    """Documents whose toxicity score is below the threshold; null and empty texts stay, and all without labels to learn from."""
     model = toxicity.fit(docs, learned_labels(spark, sf_dir))
+    if model.chars is None:
+        return docs
     score = free_name("score", docs.columns)
     return toxicity.score_texts(docs, model, score=score).where(F.col(score) < TOXIC_FROM).select(docs.columns)
 
@@ -28,9 +30,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no benchmark item."""
-    found = written(decontam.contained_items(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "contaminated")
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    """Documents that contain no benchmark item; rows are told apart by key and text."""
+    mark = free_name("mark", docs.columns)
+    marked = docs.withColumn(mark, F.xxhash64("doc_id", "text"))
+    found = decontam.contained_items(marked, table(spark, sf_dir, "benchmark"), key=mark).select(F.col("doc_id").alias("found_mark")).distinct()
+    found = written(found, "contaminated")
+    return marked.join(found, F.col(mark) == F.col("found_mark"), "left_anti").select(docs.columns)
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -59,6 +59,38 @@ def test_packet_table(spark):
     assert M.packet_table(df.limit(0)).count() == 0
 
 
+def test_damage_never_raises(spark):
+    rng, files = random.Random(2), []
+    laced = M.element(M.EBML, M.element(M.DOC_TYPE, b"webm")) + M.element(
+        M.SEGMENT,
+        M.element(M.INFO, M.number(M.TIMESTAMP_SCALE, 1000)),
+        M.element(M.CLUSTER, M.number(M.CLUSTER_TIMESTAMP, 5), *[M.element(M.SIMPLE_BLOCK, M.block([b"ab", b"abc", b"a" * 300], 1, lacing=k)) for k in (M.XIPH, M.EBML_LACING)]),
+        M.element(M.CUES, M.element(M.CUE_POINT, M.number(M.CUE_TIME, 5), M.element(M.CUE_POSITIONS, M.number(M.CUE_TRACK, 1), M.number(M.CUE_CLUSTER, 3)))),
+    )
+    for whole in (laced, M.mux(bytes(256))):
+        files += [whole[:n] for n in range(0, min(len(whole), 420), 3)]
+        for _ in range(600):
+            data = bytearray(whole)
+            for _ in range(rng.randrange(1, 4)):
+                data[rng.randrange(len(data))] = rng.choice([0, 1, 127, 128, 255, rng.randrange(256)])
+            files.append(bytes(data))
+    long_time = M.element(M.EBML) + M.element(M.SEGMENT, M.element(M.CLUSTER, M.element(M.CLUSTER_TIMESTAMP, b"\xff" * 8), M.element(M.SIMPLE_BLOCK, M.block([b"x"], 0))))
+    long_cue = M.element(M.EBML) + M.element(M.SEGMENT, M.element(M.CUES, M.element(M.CUE_POINT, M.element(M.CUE_TIME, b"\xff" * 8), M.element(M.CUE_POSITIONS, M.number(M.CUE_TRACK, 1)))))
+    df = spark.createDataFrame([(i, x) for i, x in enumerate([*files, long_time, long_cue])], "doc_id long, data binary")
+    rows = M.packet_table(df).collect()
+    errors = {r["doc_id"] for r in rows if r["error"] is not None}
+    assert {len(files), len(files) + 1} <= errors and M.cue_table(df).count() > 0
+
+
+def test_cue_table(spark):
+    media = M.mux(bytes(4096 * 56 * 2 + 64))
+    df = spark.createDataFrame([(1, media, 9), (2, None, 9), (None, media, 9)], "doc_id long, data binary, track long")
+    rows = M.cue_table(df).collect()
+    own = sorted((r["timestamp_ns"], r["cluster_offset"]) for r in rows if r["doc_id"] == 1)
+    assert len(own) == 3 and [media[at : at + 4].hex() for _, at in own] == ["1f43b675"] * 3 and own[0][0] == 0 and len(rows) == 6
+    assert M.cue_table(df.limit(0)).count() == 0
+
+
 def test_stored_texts(spark):
     texts = [None, "", "a", "é" * 32, "x" * 64, "x" * 65, "long " * 100_000, "a"]
     df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, feature long")

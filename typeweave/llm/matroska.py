@@ -204,7 +204,10 @@ def _cue(media: Media, data: bytes, body: int, end: int) -> None:
             time = _uint(data, b, e)
         elif ident == CUE_POSITIONS:
             at = {i: _uint(data, x, y) for i, x, y in elements(data, b, e)}
-            media.cues.append((time, at.get(CUE_TRACK, 0), media.segment + at.get(CUE_CLUSTER, 0)))
+            cue = (time, at.get(CUE_TRACK, 0), media.segment + at.get(CUE_CLUSTER, 0))
+            if max(cue) >= 1 << 62:
+                raise Damaged(f"a cue at {body} has a value beyond 64 bits")
+            media.cues.append(cue)
 
 
 def parse(data: bytes | None) -> Media:
@@ -326,6 +329,7 @@ def payload_of(data: bytes, media: Media, track: int = 1) -> bytes:
 
 
 PACKETS = "cluster int, track long, timestamp_ns long, keyframe boolean, lacing string, frame int, byte_offset long, byte_length long, error string"
+CUE_COLUMNS = "timestamp_ns long, track long, cluster_offset long"
 
 
 def packet_table(media: DataFrame, *, data: str = "data", key: str = "doc_id") -> DataFrame:
@@ -354,6 +358,27 @@ def packet_table(media: DataFrame, *, data: str = "data", key: str = "doc_id") -
     return rows.mapInArrow(run, f"own_key {kind}, {PACKETS}").withColumnRenamed("own_key", key)
 
 
+def cue_table(media: DataFrame, *, data: str = "data", key: str = "doc_id") -> DataFrame:
+    """(key, cue columns) with a row for each cue of each file in a binary column: its time, track, and where its cluster begins; a time beyond 64 bits is null.
+
+    Of a damaged file the cues before the damage; null and empty files, and files without cues, have no row.  Other columns are ignored.
+    """
+    kind = dict(media.dtypes)[key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, keys = [], []
+            for i, x in enumerate(batch.column(1)):
+                found = parse(x.as_py())
+                rows += [(time * found.scale if time * found.scale < 1 << 62 else None, track, place) for time, track, place in found.cues]
+                keys += [i] * len(found.cues)
+            columns = [pa.array([r[i] for r in rows], pa.int64()) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keys, pa.int64())), *columns], ["own_key", *[c.split()[0] for c in CUE_COLUMNS.split(", ")]])
+
+    rows = media.select(F.col(key).alias("own_key"), F.col(data).cast("binary").alias("data"))
+    return rows.mapInArrow(run, f"own_key {kind}, {CUE_COLUMNS}").withColumnRenamed("own_key", key)
+
+
 def _digest(text: str | None) -> tuple:
     raw = text.encode() if text else b""
     payload = raw.ljust(max(64, -(-len(raw) // 64) * 64), b"\0")
