@@ -14,7 +14,7 @@ from typeweave.sources.caches import cached
 needs_readelf = pytest.mark.skipif(not shutil.which("readelf"), reason="needs readelf")
 
 TAG = {v: k for k, v in dwarf.TAGS.items()}
-ATTRIBUTE = {"name": 0x03, "byte_size": 0x0B, "bit_size": 0x0D, "low_pc": 0x11, "const_value": 0x1C, "containing_ref": 0x1D, "inline_code": 0x20, "upper_bound": 0x2F, "origin_ref": 0x31, "member_loc": 0x38, "declaration": 0x3C, "encoding": 0x3E, "external": 0x3F, "spec_ref": 0x47, "type_ref": 0x49, "virtuality": 0x4C, "vtable_idx": 0x4D, "linkage_name": 0x6E}
+ATTRIBUTE = {"name": 0x03, "byte_size": 0x0B, "bit_size": 0x0D, "low_pc": 0x11, "const_value": 0x1C, "containing_ref": 0x1D, "inline_code": 0x20, "upper_bound": 0x2F, "origin_ref": 0x31, "member_loc": 0x38, "declaration": 0x3C, "encoding": 0x3E, "external": 0x3F, "spec_ref": 0x47, "type_ref": 0x49, "virtuality": 0x4C, "vtable_idx": 0x4D, "linkage_name": 0x6E, "str_offsets_base": 0x72}
 
 
 def uleb(n):
@@ -43,15 +43,22 @@ class E:
         self.tag, self.children, self.attributes, self.at = tag, children, attributes, None
 
 
-def build(units):
-    """An ELF file with the units' entries, version 4."""
-    abbrev, codes, strings, info = b"", {}, b"\0", b""
+def build(units, version=4, wide=False):
+    """An ELF file with the units' entries; those of version 5 use forms that are new with it."""
+    abbrev, codes, strings, info, line_strings, indices = b"", {}, b"\0", b"", b"\0", []
+    offset = "<Q" if wide else "<I"
 
-    def form(name, v):
+    def form(name, v, base):
         if isinstance(v, E):
-            return 0x13
+            return 0x10 if v.at is not None and v.at < base else 0x13
+        if name == "str_offsets_base":
+            return 0x17
         if isinstance(v, str):
+            if version == 5 and len(v) > 4:
+                return 0x25 if name == "linkage_name" else 0x1F
             return 0x0E if len(v) > 4 else 0x08
+        if version == 5 and name == "byte_size":
+            return 0x21
         if v is True:
             return 0x19
         if name == "vtable_idx":
@@ -59,19 +66,30 @@ def build(units):
         return {"const_value": 0x0D, "low_pc": 0x01, "member_loc": 0x0F}.get(name, 0x0B)
 
     def write(e, base, out):
-        nonlocal abbrev, strings
-        shape = (e.tag, bool(e.children), tuple((n, form(n, v)) for n, v in e.attributes.items()))
+        nonlocal abbrev, strings, line_strings
+        shape = (e.tag, bool(e.children), tuple((n, form(n, v, base), v if form(n, v, base) == 0x21 else None) for n, v in e.attributes.items()))
         if shape not in codes:
             codes[shape] = len(codes) + 1
-            abbrev += uleb(codes[shape]) + uleb(TAG[e.tag]) + bytes([shape[1]]) + b"".join(uleb(ATTRIBUTE[n]) + uleb(f) for n, f in shape[2]) + b"\0\0"
+            abbrev += uleb(codes[shape]) + uleb(TAG[e.tag]) + bytes([shape[1]]) + b"".join(uleb(ATTRIBUTE[n]) + uleb(f) + (sleb(v) if f == 0x21 else b"") for n, f, v in shape[2]) + b"\0\0"
         e.at = base + len(out)
         out += uleb(codes[shape])
         for n, v in e.attributes.items():
-            f = form(n, v)
+            f = form(n, v, base)
             if f == 0x13:
                 out += struct.pack("<I", (v.at or base) - base)
+            elif f == 0x10:
+                out += struct.pack("<Q" if version == 2 else offset, v.at)
+            elif f == 0x17:
+                out += struct.pack(offset, v)
             elif f == 0x0E:
-                out += struct.pack("<I", len(strings))
+                out += struct.pack(offset, len(strings))
+                strings += v.encode() + b"\0"
+            elif f == 0x1F:
+                out += struct.pack(offset, len(line_strings))
+                line_strings += v.encode() + b"\0"
+            elif f == 0x25:
+                out += bytes([len(indices)])
+                indices.append(len(strings))
                 strings += v.encode() + b"\0"
             elif f == 0x08:
                 out += v.encode() + b"\0"
@@ -79,7 +97,7 @@ def build(units):
                 out += bytes([2, 0x10, v])
             elif f == 0x01:
                 out += struct.pack("<Q", v)
-            elif f != 0x19:
+            elif f not in (0x19, 0x21):
                 out += sleb(v) if f == 0x0D else uleb(v) if f == 0x0F else bytes([v])
         for c in e.children:
             write(c, base, out)
@@ -87,14 +105,24 @@ def build(units):
             out += b"\0"
 
     for unit in units:
+        if version == 5:
+            unit.attributes["str_offsets_base"] = 16 if wide else 8
         for _ in range(2):  # the second time every reference is known
-            saved = strings
-            body = bytearray(11)
+            saved = strings, line_strings, len(indices)
+            body = bytearray((12 if wide else 4) + (2 + 2 if version == 5 else 2 + 1) + (8 if wide else 4))
+            head = len(body)
             write(unit, len(info), body)
-            strings = strings if _ else saved
-        body[:11] = struct.pack("<IHIB", len(body) - 4, 4, 0, 8)
+            if not _:
+                strings, line_strings = saved[:2]
+                del indices[saved[2] :]
+        length = struct.pack("<IQ", 0xFFFFFFFF, len(body) - 12) if wide else struct.pack("<I", len(body) - 4)
+        body[:head] = length + (struct.pack("<HBB", 5, 1, 8) + struct.pack(offset, 0) if version == 5 else struct.pack("<H", version) + struct.pack(offset, 0) + b"\x08")
         info += bytes(body)
     parts = {".debug_info": info, ".debug_abbrev": abbrev + b"\0", ".debug_str": strings}
+    if version == 5:
+        table = struct.pack("<HH", 5, 0) + b"".join(struct.pack(offset, i) for i in indices)
+        parts[".debug_str_offsets"] = (struct.pack("<IQ", 0xFFFFFFFF, len(table)) if wide else struct.pack("<I", len(table))) + table
+        parts[".debug_line_str"] = line_strings
     names, table, data, at = b"\0", [(0,) * 10], b"", 64
     for name, content in [*parts.items(), (".shstrtab", None)]:
         place = len(names)
@@ -178,6 +206,43 @@ def test_reader_equals_readelf(die, program):
     assert sorted(r["type_ref"] for r in die.where("type_ref is not null").select("type_ref").collect()) == refs
 
 
+def some_units():
+    integer, real, letter, uid, unsigned, color, node, point, grid = node_types()
+    one = E("compile_unit", integer, real, letter, unsigned, E("namespace", uid, color, node, name="app"), point, grid, E("variable", name="first", type_ref=node, linkage_name="_ZN3app5firstE"), name="one.cpp")
+    return [one, E("compile_unit", E("variable", name="second", type_ref=node, linkage_name="_ZN3app6secondE"), name="two.cpp")], node
+
+
+@needs_readelf
+@pytest.mark.parametrize(("version", "wide"), [(2, False), (3, False), (3, True), (4, True), (5, False), (5, True)])
+def test_reader_of_other_versions(spark, tmp_path, version, wide):
+    """Units of each version and format, with references between units, equal those of version 4 but for the places of entries."""
+    found = {}
+    for v, w in {(4, False), (version, wide)}:
+        units, node = some_units()
+        out = tmp_path / f"{v}{w}.o"
+        out.write_bytes(build(units, v, w))
+        spark.dataSource.register(dwarf.DebugInfo)
+        rows = spark.read.format("debuginfo").load(str(out)).orderBy("goff").collect()
+        assert next(r for r in rows if r["name"] == "second")["type_ref"] == node.at, "a reference to another unit keeps its id"
+        number = {r["goff"]: i for i, r in enumerate(rows)}
+        found[v, w] = [{k: number[x] if k in ("goff", "parent", "type_ref") and x is not None else x for k, x in r.asDict().items() if k != "cu_offset"} for r in rows]
+        text = subprocess.run(["readelf", "--debug-dump=info", str(out)], capture_output=True, text=True).stdout
+        want = [int(m[1], 16) for m in re.finditer(r"<\w+><(\w+)>: Abbrev Number: \d+ \(DW_TAG_", text)]
+        assert sorted(number) == want
+    assert found[4, False] == found[version, wide]
+
+
+def test_unread_files_are_errors():
+    units, _ = some_units()
+    data = build(units)
+    with pytest.raises(dwarf.FormatError, match="version 9"):
+        dwarf.units(data[:64 + 4] + b"\x09\x00" + data[70:])
+    with pytest.raises(dwarf.FormatError, match="ELF"):
+        dwarf.sections(b"MZ" + data)
+    with pytest.raises(dwarf.FormatError, match="signature"):
+        dwarf.Values(data, dwarf.units(data)[0]).read(dwarf.Section(bytes(8), 0, 8), 0x20, 0)
+
+
 def test_paths(die):
     got = namespace.paths(die).join(die.select("goff", "name", "tag", "declaration"), "goff").where("name = 'Node' and tag = 'structure_type'")
     assert {tuple(s["s"] for s in r["qualifier"]) for r in got.collect()} == {("app",)}

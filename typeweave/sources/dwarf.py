@@ -1,17 +1,22 @@
 """A Spark data source for the debug information of ELF files.
 
 `spark.read.format("debuginfo").load(path)` gives a row for each entry (the
-`die` table), a partition for each compilation unit.  It reads little-endian ELF64 files with
-version 4 units in .debug_info; references other than within the unit are
-left out, as are units in .debug_types.
+`die` table), a partition for each unit.  It reads little-endian ELF files of 32
+or 64 bits with units of versions 2 to 5, in either format, in .debug_info.
+References to other units keep their id, as do signatures of type units there;
+other signatures, and references to supplementary files, are errors.  Units in
+.debug_types of version 4 and split units are left out.
 """
 
 from __future__ import annotations
 
+import itertools
 import mmap
 import struct
 from collections.abc import Iterator
+from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SCHEMA = (
@@ -27,6 +32,7 @@ TAGS = {
     0x18: "unspecified_parameters", 0x1C: "inheritance", 0x1D: "inlined_subroutine", 0x1F: "ptr_to_member_type", 0x21: "subrange_type", 0x24: "base_type",
     0x26: "const_type", 0x28: "enumerator", 0x2E: "subprogram", 0x2F: "template_type_parameter", 0x30: "template_value_parameter", 0x34: "variable",
     0x35: "volatile_type", 0x37: "restrict_type", 0x39: "namespace", 0x3A: "imported_module", 0x3B: "unspecified_type", 0x42: "rvalue_reference_type",
+    0x0A: "label", 0x25: "catch_block", 0x32: "try_block", 0x3C: "partial_unit", 0x3D: "imported_unit", 0x41: "type_unit", 0x43: "template_alias", 0x47: "atomic_type", 0x49: "call_site_parameter",
     0x48: "call_site", 0x4109: "GNU_call_site", 0x410A: "GNU_call_site_parameter", 0x4107: "GNU_template_parameter_pack",
 }
 ATTRIBUTES = {
@@ -46,11 +52,12 @@ class FormatError(ValueError):
 
 def sections(data: bytes) -> dict[str, tuple[int, int]]:
     """(offset, size) of each section by name; a section that isn't there is empty for readers."""
-    if data[:4] != b"\x7fELF" or data[4] != 2 or data[5] != 1:
-        raise FormatError("not a little-endian ELF64 file")
-    table = struct.unpack_from("<Q", data, 0x28)[0]
-    size, number, names = struct.unpack_from("<HHH", data, 0x3A)
-    headers = [struct.unpack_from("<IIQQQQ", data, table + i * size) for i in range(number)]
+    if data[:4] != b"\x7fELF" or data[4] not in (1, 2) or data[5] != 1:
+        raise FormatError("not a little-endian ELF file")
+    wide = data[4] == 2
+    table = struct.unpack_from("<Q" if wide else "<I", data, 0x28 if wide else 0x20)[0]
+    size, number, names = struct.unpack_from("<HHH", data, 0x3A if wide else 0x2E)
+    headers = [struct.unpack_from("<IIQQQQ" if wide else "<IIIIII", data, table + i * size) for i in range(number)]
     strings = headers[names][4]
     out = {}
     for h in headers:
@@ -97,20 +104,57 @@ class Section:
         return out
 
 
-def units(data: bytes) -> list[tuple[int, int]]:
-    """(offset in .debug_info, length with header) of each unit."""
+@dataclass
+class Unit:
+    """Where a unit is in .debug_info, and what its header says; `first` is the place of its first entry."""
+
+    offset: int
+    length: int
+    version: int
+    wide: bool
+    address: int
+    abbreviations: int
+    first: int
+    signature: int | None = None
+    type_at: int = 0
+    strings_base: int = 0
+    addresses_base: int = 0
+
+    @property
+    def width(self) -> int:
+        return 8 if self.wide else 4
+
+
+def units(data: bytes) -> list[Unit]:
+    """The units of .debug_info."""
     start, size = sections(data).get(".debug_info", (0, 0))
     out, at = [], 0
     while at < size:
-        length = struct.unpack_from("<I", data, start + at)[0]
-        if length == 0xFFFFFFFF:
-            raise FormatError("64-bit units are not read")
-        out.append((at, length + 4))
-        at += length + 4
+        c = Section(data, start + at, start + size)
+        length = c.fixed(4)
+        wide = length == 0xFFFFFFFF
+        if wide:
+            length = c.fixed(8)
+        whole = c.at - start - at + length
+        version, signature, type_at = c.fixed(2), None, 0
+        if not 2 <= version <= 5:
+            raise FormatError(f"version {version} units are not read")
+        kind = c.fixed(1) if version == 5 else 1
+        if version == 5:
+            address, table = c.fixed(1), c.fixed(8 if wide else 4)
+        else:
+            table, address = c.fixed(8 if wide else 4), c.fixed(1)
+        if kind in (2, 6):  # type units
+            signature, type_at = c.fixed(8), c.fixed(8 if wide else 4)
+        elif kind in (4, 5):  # skeletons and split units
+            c.fixed(8)
+        out.append(Unit(at, whole, version, wide, address, table, c.at - start, signature, type_at))
+        at += whole
     return out
 
 
-def abbreviations(data: bytes, at: int) -> dict[int, tuple[int, bool, list[tuple[int, int]]]]:
+def abbreviations(data: bytes, at: int) -> dict[int, tuple[int, bool, list[tuple[int, int, int]]]]:
+    """Code -> (tag, whether it has children, (attribute, form, the value that the form itself carries))."""
     cursor, out = Section(data, at, len(data)), {}
     while code := cursor.uleb():
         tag, children, found = cursor.uleb(), bool(cursor.fixed(1)), []
@@ -118,65 +162,105 @@ def abbreviations(data: bytes, at: int) -> dict[int, tuple[int, bool, list[tuple
             attribute, form = cursor.uleb(), cursor.uleb()
             if not attribute and not form:
                 break
-            found.append((attribute, form))
+            found.append((attribute, form, cursor.sleb() if form == 0x21 else 0))
         out[code] = (tag, children, found)
     return out
 
 
-def _value(c: Section, form: int, address: int, strings: int, data: bytes, unit: int) -> object:
-    """A value of an attribute; references become global, blocks that are one unsigned constant become it."""
-    if form == 0x01:
-        return c.fixed(address)
-    if form in (0x0B, 0x05, 0x06, 0x07):
-        return c.fixed({0x0B: 1, 0x05: 2, 0x06: 4, 0x07: 8}[form])
-    if form == 0x0D:
-        return c.sleb()
-    if form == 0x0F:
-        return c.uleb()
-    if form == 0x08:
-        return c.string()
-    if form == 0x0E:
-        at = c.fixed(4)
-        end = data.find(b"\0", strings + at)
-        return bytes(data[strings + at : end]).decode("utf-8", "replace")
-    if form == 0x0C:
-        return bool(c.fixed(1))
-    if form == 0x19:
-        return True
-    if form in (0x11, 0x12, 0x13, 0x14):
-        return unit + c.fixed({0x11: 1, 0x12: 2, 0x13: 4, 0x14: 8}[form])
-    if form == 0x15:
-        return unit + c.uleb()
-    if form == 0x17:
-        return ("section", c.fixed(4))
-    if form == 0x10 or form == 0x20:
-        return ("elsewhere", c.fixed(4 if form == 0x10 else 8))
-    if form in (0x18, 0x09, 0x0A, 0x03, 0x04):
-        n = c.uleb() if form in (0x18, 0x09) else c.fixed({0x0A: 1, 0x03: 2, 0x04: 4}[form])
-        body = Section(data, c.at, c.at + n)
+# Bytes that a form takes, for forms of constants, references, indices into tables and blocks.
+CONSTANTS = {0x0B: 1, 0x05: 2, 0x06: 4, 0x07: 8, 0x1E: 16}
+REFERENCES = {0x11: 1, 0x12: 2, 0x13: 4, 0x14: 8}
+STRING_INDICES, ADDRESS_INDICES = {0x25: 1, 0x26: 2, 0x27: 3, 0x28: 4}, {0x29: 1, 0x2A: 2, 0x2B: 3, 0x2C: 4}
+BLOCKS = {0x0A: 1, 0x03: 2, 0x04: 4}
+
+
+class Values:
+    """The values of a unit's attributes."""
+
+    def __init__(self, data: bytes, unit: Unit) -> None:
+        self.data, self.unit, self.where = data, unit, sections(data)
+        self.signatures: dict[int, int] | None = None
+
+    def _string(self, section: str, at: int) -> str:
+        at += self.where.get(section, (0, 0))[0]
+        return bytes(self.data[at : self.data.find(b"\0", at)]).decode("utf-8", "replace")
+
+    def _string_at(self, index: int) -> str:
+        at = self.where.get(".debug_str_offsets", (0, 0))[0] + self.unit.strings_base + index * self.unit.width
+        return self._string(".debug_str", Section(self.data, at, at).fixed(self.unit.width))
+
+    def _address_at(self, index: int) -> int:
+        at = self.where.get(".debug_addr", (0, 0))[0] + self.unit.addresses_base + index * self.unit.address
+        return Section(self.data, at, at).fixed(self.unit.address)
+
+    def _type_of(self, signature: int) -> int:
+        if self.signatures is None:
+            self.signatures = {u.signature: u.offset + u.type_at for u in units(self.data) if u.signature is not None}
+        if signature not in self.signatures:
+            raise FormatError(f"no type unit has the signature {signature:#x}")
+        return self.signatures[signature]
+
+    def _block(self, c: Section, form: int) -> int | None:
+        """The constant of a block that is one unsigned constant or offset, else nothing."""
+        n = c.fixed(BLOCKS[form]) if form in BLOCKS else c.uleb()
+        body = Section(self.data, c.at, c.at + n)
         c.at += n
-        if n and data[body.at] == 0x10 or n and data[body.at] == 0x23:
+        if n and self.data[body.at] in (0x10, 0x23):
             body.at += 1
             value = body.uleb()
             return value if body.at == body.end else None
         return None
-    raise FormatError(f"form {form:#x} is not read")
+
+    def read(self, c: Section, form: int, carried: int) -> object:
+        """A value; references become ids, offsets into other sections a tuple, which is no value of a column."""
+        width = self.unit.width
+        if form == 0x21:
+            return carried
+        if form in CONSTANTS:
+            return c.fixed(CONSTANTS[form])
+        if form in (0x0D, 0x0F):
+            return c.sleb() if form == 0x0D else c.uleb()
+        if form == 0x01:
+            return c.fixed(self.unit.address)
+        if form == 0x08:
+            return c.string()
+        if form in (0x0E, 0x1F):
+            return self._string(".debug_str" if form == 0x0E else ".debug_line_str", c.fixed(width))
+        if form == 0x1A or form in STRING_INDICES:
+            return self._string_at(c.fixed(STRING_INDICES[form]) if form in STRING_INDICES else c.uleb())
+        if form == 0x1B or form in ADDRESS_INDICES:
+            return self._address_at(c.fixed(ADDRESS_INDICES[form]) if form in ADDRESS_INDICES else c.uleb())
+        if form in (0x0C, 0x19):
+            return bool(c.fixed(1)) if form == 0x0C else True
+        if form in REFERENCES or form == 0x15:
+            return self.unit.offset + (c.fixed(REFERENCES[form]) if form in REFERENCES else c.uleb())
+        if form == 0x10:
+            return c.fixed(self.unit.address if self.unit.version == 2 else width)
+        if form == 0x20:
+            return self._type_of(c.fixed(8))
+        if form == 0x17:
+            return ("section", c.fixed(width))
+        if form in (0x22, 0x23):
+            return ("list", c.uleb())
+        if form in (0x18, 0x09) or form in BLOCKS:
+            return self._block(c, form)
+        if form == 0x16:
+            return self.read(c, c.uleb(), 0)
+        raise FormatError(f"form {form:#x} is not read")
 
 
 def _i64(x: object) -> int | None:
-    return None if not isinstance(x, int) or isinstance(x, bool) else x - (1 << 64) if x >= 1 << 63 else x
+    """An integer as a signed one of 64 bits; wider ones, and what is none, are null."""
+    return None if not isinstance(x, int) or isinstance(x, bool) or x >= 1 << 64 else x - (1 << 64) if x >= 1 << 63 else x
 
 
-def entries(data: bytes, unit: int, length: int) -> Iterator[tuple]:
+def entries(data: bytes, unit: Unit) -> Iterator[dict[str, object]]:
     """The rows of a unit, in order of the file."""
-    where = sections(data)
-    start, strings = where[".debug_info"][0], where.get(".debug_str", (0, 0))[0]
-    c = Section(data, start + unit + 4, start + unit + length)
-    version = c.fixed(2)
-    if version != 4:
-        raise FormatError(f"version {version} units are not read")
-    table = abbreviations(data, where[".debug_abbrev"][0] + c.fixed(4))
-    address = c.fixed(1)
+    start = sections(data)[".debug_info"][0]
+    c = Section(data, start + unit.first, start + unit.offset + unit.length)
+    table = abbreviations(data, sections(data)[".debug_abbrev"][0] + unit.abbreviations)
+    values = Values(data, unit)
+    _bases(data, unit, table, values, c.at, c.end)
     stack: list[list[int]] = []
     while c.at < c.end:
         goff = c.at - start
@@ -187,29 +271,63 @@ def entries(data: bytes, unit: int, length: int) -> Iterator[tuple]:
             continue
         tag, children, wanted = table[code]
         row: dict[str, object] = {}
-        for attribute, form in wanted:
-            value = _value(c, form, address, strings, data, unit)
+        for attribute, form, carried in wanted:
+            value = values.read(c, form, carried)
             column = ATTRIBUTES.get(attribute)
             if column and not isinstance(value, tuple):
                 row[column] = value
         if "count" not in row and isinstance(row.get("upper_bound"), int):
             row["count"] = int(row["upper_bound"]) + 1
+        if "member_loc" not in row and isinstance(row.get("bit_offset"), int):
+            row["member_loc"] = int(row["bit_offset"]) // 8
         place = 0
         if stack:
             place = stack[-1][1]
             stack[-1][1] += 1
-        row |= {"cu_offset": unit, "goff": goff, "parent": stack[-1][0] if stack else None, "ord": place, "depth": len(stack), "tag": TAGS.get(tag, f"tag_{tag:#x}")}
+        row |= {"cu_offset": unit.offset, "goff": goff, "parent": stack[-1][0] if stack else None, "ord": place, "depth": len(stack), "tag": TAGS.get(tag, f"tag_{tag:#x}")}
         for column, names in (("encoding", ENCODINGS), ("inline_code", INLINE), ("virtuality", VIRTUALITY)):
             if column in row:
                 row[column] = names.get(row[column], str(row[column]))
-        yield tuple(bool(row[x]) if x in row and x in ("declaration", "external") else _i64(row.get(x)) if x not in ("tag", "name", "linkage_name", "encoding", "inline_code", "virtuality", "declaration", "external", "ord", "depth") else row.get(x) for x in COLUMNS)
+        yield row
         if children:
             stack.append([goff, 0])
 
 
-class _Unit(InputPartition):
-    def __init__(self, path: str, unit: int, length: int) -> None:
-        self.path, self.unit, self.length = path, unit, length
+def _bases(data: bytes, unit: Unit, table: dict, values: Values, at: int, end: int) -> None:
+    """Where the unit's parts of the tables of strings and addresses begin: its first entry says so, if need be behind values that use them."""
+    c = Section(data, at, end)
+    code = c.uleb() if at < end else 0
+    for attribute, form, carried in table[code][2] if code else ():
+        plain = form != 0x1A and form != 0x1B and form not in STRING_INDICES and form not in ADDRESS_INDICES
+        if plain:
+            value = values.read(c, form, carried)
+        elif form in (0x1A, 0x1B):
+            value = c.uleb()
+        else:
+            value = c.fixed((STRING_INDICES | ADDRESS_INDICES)[form])
+        if attribute == 0x72 and isinstance(value, tuple):
+            unit.strings_base = value[1]
+        elif attribute == 0x73 and isinstance(value, tuple):
+            unit.addresses_base = value[1]
+
+
+def _batch(rows: list[dict[str, object]]) -> pa.RecordBatch:
+    columns = []
+    for field in SCHEMA.split(", "):
+        name, kind = field.split()
+        got = [r.get(name) for r in rows]
+        if kind == "boolean":
+            columns.append(pa.array([None if x is None else bool(x) for x in got], pa.bool_()))
+        elif kind == "string":
+            columns.append(pa.array([x if isinstance(x, str) else None for x in got], pa.string()))
+        else:
+            columns.append(pa.array([_i64(x) for x in got], pa.int32() if kind == "int" else pa.int64()))
+    return pa.RecordBatch.from_arrays(columns, COLUMNS)
+
+
+class _Part(InputPartition):
+    def __init__(self, path: str, unit: Unit | None) -> None:
+        self.path, self.unit = path, unit
 
 
 class _Reader(DataSourceReader):
@@ -218,13 +336,15 @@ class _Reader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         with open(self.path, "rb") as f, mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) as data:
-            return [_Unit(self.path, at, n) for at, n in units(data)] or [_Unit(self.path, -1, 0)]
+            return [_Part(self.path, u) for u in units(data)] or [_Part(self.path, None)]
 
-    def read(self, partition: _Unit) -> Iterator[tuple]:
-        if partition.unit < 0:
+    def read(self, partition: _Part) -> Iterator[pa.RecordBatch]:
+        if partition.unit is None:
             return
         with open(partition.path, "rb") as f, mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) as data:
-            yield from entries(data, partition.unit, partition.length)
+            rows = entries(data, partition.unit)
+            while some := list(itertools.islice(rows, 10_000)):
+                yield _batch(some)
 
 
 class DebugInfo(DataSource):
