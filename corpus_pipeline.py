@@ -31,11 +31,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain no benchmark item; rows are told apart by key and text."""
-    mark = free_name("mark", docs.columns)
+    mark, other = free_name("mark", docs.columns), free_name("found_mark", docs.columns)
     marked = docs.withColumn(mark, F.xxhash64("doc_id", "text"))
-    found = decontam.contained_items(marked, table(spark, sf_dir, "benchmark"), key=mark).select(F.col("doc_id").alias("found_mark")).distinct()
+    found = decontam.contained_items(marked, table(spark, sf_dir, "benchmark"), key=mark).select(F.col("doc_id").alias(other)).distinct()
     found = written(found, "contaminated")
-    return marked.join(found, F.col(mark) == F.col("found_mark"), "left_anti").select(docs.columns)
+    return marked.join(found, F.col(mark) == F.col(other), "left_anti").select(docs.columns)
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -218,7 +218,7 @@ def one_of_each(docs: DataFrame, *, text: str = "text", key: str = "doc_id", shi
 
     All columns stay.  Of rows that are repeated with key and text, one stays.
     """
-    mark, rank = free_name("mark", docs.columns), free_name("rank", docs.columns)
+    mark, rank, few_id, few_mark = (free_name(n, docs.columns) for n in ("mark", "rank", "few_id", "few_mark"))
     marked = docs.withColumn(mark, F.xxhash64(F.col(text).cast("string")))
     rows = marked.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.col(mark).alias("mark"))
     rows = written(near_groups(rows, shingle, similarity).groupBy("group", "doc_id", "mark").agg(F.count("*").alias("times")), "marked")
@@ -226,10 +226,10 @@ def one_of_each(docs: DataFrame, *, text: str = "text", key: str = "doc_id", shi
     first = written(rows.groupBy("group").agg(F.min(order).alias("first")).select(F.col("group").alias("g"), "first"), "firsts")
     placed = rows.join(first, F.col("group") == F.col("g")).select("doc_id", "mark", "times", (order == F.col("first")).alias("is_first"))
     # what changes is few: rows that go, and rows that are kept once of several
-    few = written(placed.where("not is_first or times > 1").select(F.col("doc_id").alias("few_id"), F.col("mark").alias("few_mark"), "is_first"), "dropped")
-    same = F.col(key).cast("long").eqNullSafe(F.col("few_id")) & (F.col(mark) == F.col("few_mark"))
-    out = marked.join(few.select("few_id", "few_mark"), same, "left_anti").select(docs.columns)
-    repeated = few.where("is_first").select("few_id", "few_mark")
+    few = written(placed.where("not is_first or times > 1").select(F.col("doc_id").alias(few_id), F.col("mark").alias(few_mark), "is_first"), "dropped")
+    same = F.col(key).cast("long").eqNullSafe(F.col(few_id)) & (F.col(mark) == F.col(few_mark))
+    out = marked.join(few.select(few_id, few_mark), same, "left_anti").select(docs.columns)
+    repeated = few.where("is_first").select(few_id, few_mark)
     if repeated.isEmpty():
         return out
     once = Window.partitionBy(key, mark).orderBy(*[F.hash(c) for c in docs.columns])
