@@ -56,7 +56,7 @@ def _sketch(grams: np.ndarray) -> bytes:
 
 
 def _sketches(column: pa.Array) -> np.ndarray:
-    return np.stack([np.frombuffer(x.as_buffer(), np.uint8 if len(x.as_buffer()) == PARTS else np.uint32) for x in column]).astype(np.int64)
+    return np.stack([np.frombuffer(x.as_buffer(), np.uint8 if len(x.as_buffer()) == PARTS else np.uint32) for x in column]).astype(np.int32)
 
 
 def prefix_of(grams: np.ndarray, similarity: float, common: np.ndarray, times: np.ndarray) -> np.ndarray:
@@ -93,7 +93,7 @@ def _common(rows: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _crossing(similarity: float):
-    """Of (members) by shingle: pairs of different components whose sizes allow the similarity."""
+    """Of (members) by shingle: pairs of different components that sizes, places and sketches allow."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -101,12 +101,17 @@ def _crossing(similarity: float):
                 inner = row.values
                 order = np.argsort(inner.field(1).to_numpy(), kind="stable")
                 ids, sizes, groups, places = (inner.field(i).to_numpy()[order] for i in range(4))
+                sketches = _sketches(inner.field(4).take(pa.array(order)))
                 left = sizes - places  # at the first shingle that a pair shares, the pair shares no more than the lesser of these
                 stops = np.searchsorted(sizes, sizes / similarity + 1e-9, side="right")
                 for i, stop in enumerate(stops):
                     later = slice(i + 1, stop)
                     enough = np.minimum(left[i], left[later]) * (1 + similarity) >= (sizes[i] + sizes[later]) * similarity - 1e-9
-                    others = ids[later][enough & (groups[later] != groups[i])]
+                    near = i + 1 + np.flatnonzero(enough & (groups[later] != groups[i]))
+                    if len(near):
+                        shared = np.minimum(sketches[near], sketches[i]).sum(axis=1)
+                        near = near[shared * (1 + similarity) >= (sizes[i] + sizes[near]) * similarity - 1e-9]
+                    others = ids[near]
                     if len(others):
                         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(others, ids[i])), pa.array(np.maximum(others, ids[i]))], ["a", "b"])
 
@@ -181,12 +186,16 @@ def near_groups(rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
     members = written(members.where("other is not null or next is not null").drop("next"), "shared")
     beside = members.where(F.col("less") >= F.col("n") * similarity - 1e-9).select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
 
-    def alike(pairs: DataFrame) -> DataFrame:
-        """Those of (a, b) that are as similar as asked."""
+    def allowed(pairs: DataFrame) -> DataFrame:
+        """Those of (a, b) that sketches allow."""
         pairs = written(pairs.distinct(), "pairs")
         for end, sketch in (("a", "x"), ("b", "y")):
             pairs = pairs.join(sets.select(F.col("id").alias(end), F.col("sketch").alias(sketch)), end)
-        pairs = written(pairs.select("a", "b", "x", "y").mapInArrow(_sketched(similarity), "a long, b long"), "sketched")
+        return pairs.select("a", "b", "x", "y").mapInArrow(_sketched(similarity), "a long, b long")
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        """Those of (a, b) that are as similar as asked."""
+        pairs = written(pairs, "sketched")
         ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
         ids = written(ids.join(sets, "id").select("id", "first_id"), "ids")
         texts = rows.join(ids.where("first_id is not null").select(F.col("first_id").alias("doc_id")).distinct(), "doc_id", "left_semi").select("text")
@@ -197,15 +206,16 @@ def near_groups(rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
         same = F.size(F.array_intersect("x", "y"))
         return written(pairs.where(same * (1 + similarity) >= (F.size("x") + F.size("y")) * similarity - 1e-9).select("a", "b"), "alike")
 
-    links = alike(beside.unionByName(_print_links(sets)))
+    links = alike(allowed(beside.unionByName(_print_links(sets))))
     groups = written(connected_components(links, "a", "b"), "beside-groups")
     grouped = members.join(groups, F.col("id") == F.col("node"), "left").select("gram", "id", "n", F.coalesce("component", "id").alias("component"), "place")
     mixed = grouped.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("sets")).where("lo <> hi")
     mixed = written(mixed.select(F.col("gram").alias("g"), F.ceil(F.col("sets") / BLOCK).cast("int").alias("blocks")), "mixed")
     met = grouped.join(mixed, F.col("gram") == F.col("g")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     met = met.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.groupBy("gram", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high")).agg(F.collect_list(F.struct("id", "n", "component", "place")).alias("members"))
-    links = links.unionByName(alike(met.select("members").mapInArrow(_crossing(similarity), "a long, b long")))
+    met = met.join(sets.select("id", "sketch"), "id")
+    met = met.groupBy("gram", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high")).agg(F.collect_list(F.struct("id", "n", "component", "place", "sketch")).alias("members"))
+    links = links.unionByName(alike(met.select("members").mapInArrow(_crossing(similarity), "a long, b long").distinct()))
     groups = written(connected_components(links, "a", "b"), "copy-groups")
     least = written(groups.join(sets, F.col("node") == F.col("id")).groupBy("component").agg(F.min("first_id").alias("group_id")), "copy-leasts")
     moved = groups.join(least, "component").select(F.col("node").alias("id"), F.col("component").alias("moved"), "group_id")
