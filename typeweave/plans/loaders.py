@@ -127,8 +127,8 @@ def q20(spark, d):
     "q42_simple_types",
     f"""SELECT p_partkey AS goff, CASE p_partkey % 4 WHEN 0 THEN 'tree' WHEN 1 THEN 'alias' ELSE CASE WHEN parent IS NULL OR p_name LIKE 'a%' OR p_partkey % 4 = 3 THEN 'alias' ELSE 'typedef' END END AS kind,
   CASE WHEN p_partkey % 4 = 2 AND parent IS NOT NULL AND p_name NOT LIKE 'a%' THEN p_name END AS name,
-  CASE p_partkey % 4 WHEN 0 THEN NULL WHEN 3 THEN {PRIM_ID['u64']} ELSE coalesce(parent, {PRIM_ID['void']}) END AS target,
-  CASE p_partkey % 4 WHEN 0 THEN coalesce(parent, {PRIM_ID['void']}) END AS pointee
+  (CASE p_partkey % 4 WHEN 0 THEN NULL WHEN 3 THEN {PRIM_ID['u64']} ELSE coalesce(parent, {PRIM_ID['void']}) END)::VARCHAR AS target,
+  (CASE p_partkey % 4 WHEN 0 THEN coalesce(parent, {PRIM_ID['void']}) END)::VARCHAR AS pointee
 FROM (SELECT *, CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE p_partkey // 2 END AS parent FROM part)""",
 )
 def q42(spark, d):
@@ -137,7 +137,7 @@ def q42(spark, d):
     tag = F.when(kind == 0, "pointer_type").when(kind == 1, "const_type").when(kind == 2, "typedef").otherwise("unspecified_type")
     die = entries(table(spark, d, "part"), tag, goff="p_partkey", name="p_name", type_ref=parent)
     out = load.load_simple(die, load.Config(abandon_typedefs=["^a"]))
-    return out.select("goff", "kind", "name", "target", F.get("tree", F.lit(0))["ref"].alias("pointee"))
+    return out.select("goff", "kind", "name", F.col("target").cast("string").alias("target"), F.get("tree", F.lit(0))["ref"].cast("string").alias("pointee"))
 
 
 @query(
@@ -179,7 +179,7 @@ def q44_audit(spark, d):
 @query(
     "q45_enums",
     f"""SELECT o_orderkey AS goff, CASE WHEN o_orderstatus = 'P' THEN 'enum_decl' ELSE 'enum' END AS kind,
-  CASE WHEN o_orderstatus <> 'P' AND o_custkey % 2 = 0 THEN 4::BIGINT END AS byte_size, CASE WHEN o_orderstatus <> 'P' AND o_custkey % 2 = 1 THEN o_custkey END AS base_goff,
+  CASE WHEN o_orderstatus <> 'P' AND o_custkey % 2 = 0 THEN '4' END AS byte_size, CASE WHEN o_orderstatus <> 'P' AND o_custkey % 2 = 1 THEN o_custkey::VARCHAR END AS base_goff,
   CASE WHEN o_orderstatus <> 'P' THEN coalesce(list, '') END AS enumerators
 FROM orders LEFT JOIN (SELECT l_orderkey, string_agg(l_returnflag || '=' || l_partkey, ',' ORDER BY l_linenumber) AS list FROM {UNIQUE} GROUP BY l_orderkey) ON l_orderkey = o_orderkey""",
 )
@@ -189,7 +189,7 @@ def q45(spark, d):
     )
     die = own.unionByName(entries(unique_lines(spark, d), "enumerator", goff="line", parent="l_orderkey", ord="place", name="l_returnflag", const_value="l_partkey"))
     shown = F.array_join(F.transform("enumerators", lambda e: F.concat_ws("=", e["name"], e["value"].cast("string"))), ",")
-    return load.load_enums(die).select("goff", "kind", "byte_size", "base_goff", shown.alias("enumerators"))
+    return load.load_enums(die).select("goff", "kind", F.col("byte_size").cast("string").alias("byte_size"), F.col("base_goff").cast("string").alias("base_goff"), shown.alias("enumerators"))
 
 
 @query(
