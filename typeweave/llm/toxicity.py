@@ -53,6 +53,8 @@ _EDGE = ".,;:?\"'()[]{}<>"
 _MARKS = ".,;:?\"()[]{}<>"
 #: Tokens that a worker remembers; names that a task counts before it passes them on.
 _CACHE, HELD = 250_000, 400_000
+#: Readings that a model remembers, of tokens of so many characters at most; probabilities that it remembers for each length of context.
+READINGS, SHORT, LOWER = 20_000, 48, 20_000
 
 
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
@@ -92,8 +94,9 @@ class CharModel:
 
     def __post_init__(self) -> None:
         self.views = [memoryview(np.ascontiguousarray(x, np.float32)) for x in (self.counts, self.total, self.kinds)]
-        self.contexts: dict[str, list[tuple[int, float, float]]] = {}
+        self.lower: list[dict[int, float]] = [{} for _ in range(ORDER - 1)]
         self.memo: dict[tuple[str, str], float] = {}
+        self.readings: dict[str, str] = {}
 
     @classmethod
     def empty(cls) -> CharModel:
@@ -110,18 +113,23 @@ class CharModel:
         return out
 
     def p(self, context: str, c: str) -> float:
-        """The same for one context and character."""
+        """The same for one context and character; what a shorter context says is remembered, as many share it."""
         counts, total, kinds = self.views
-        known = self.contexts.get(context)
-        if known is None:
-            if len(self.contexts) > 20_000:
-                self.contexts.clear()
-            code = _code(context)
-            cells = [(code & _CONTEXTS[k], _cell(code & _CONTEXTS[k], 0, k)) for k in range(ORDER)]
-            known = self.contexts[context] = [(own, total[of], kinds[of] + 1e-9) for own, of in cells]
-        out, x = 1e-4, (ord(c) & 0xFFFF) + 1
-        for k, (own, n, lean) in enumerate(known):
-            out = (counts[_cell(own, x, k)] + lean * out) / (n + lean)
+        code, x, out, begin = _code(context), (ord(c) & 0xFFFF) + 1, 1e-4, 0
+        for k in range(ORDER - 2, -1, -1):
+            known = self.lower[k].get((code & _CONTEXTS[k]) << 17 | x)
+            if known is not None:
+                out, begin = known, k + 1
+                break
+        for k in range(begin, ORDER):
+            own = code & _CONTEXTS[k]
+            of = _cell(own, 0, k)
+            lean = kinds[of] + 1e-9
+            out = (counts[_cell(own, x, k)] + lean * out) / (total[of] + lean)
+            if k < ORDER - 1:
+                if len(self.lower[k]) >= LOWER:
+                    self.lower[k].clear()
+                self.lower[k][own << 17 | x] = out
         return out
 
     def logp(self, context: str, c: str) -> float:
@@ -144,7 +152,17 @@ class CharModel:
         return total
 
     def decode(self, token: str) -> str:
-        """The likeliest reading of a disguised token."""
+        """The likeliest reading of a disguised token; those of short tokens are remembered."""
+        known = self.readings.get(token)
+        if known is None:
+            known = self._decoded(token)
+            if len(token) <= SHORT:
+                if len(self.readings) >= READINGS:
+                    self.readings.clear()
+                self.readings[token] = known
+        return known
+
+    def _decoded(self, token: str) -> str:
         best: dict[str, tuple[float, str]] = {START: (0.0, "")}
         for c, run in runs(token):
             ways = arcs(c, run)
@@ -263,6 +281,7 @@ class _Scores(dict):
         self.model = model
         self.words = {f: w for f, w in lexicon.items() if not f.endswith("-")}
         self.begins = {f[:-1]: w for f, w in lexicon.items() if f.endswith("-")}
+        self.heads = {f[:4] for f in (*self.words, *self.begins)}  # a word that begins otherwise has no weight
 
     def of_word(self, word: str) -> float:
         """The weight of the strongest of features_of(word)."""
@@ -280,7 +299,7 @@ class _Scores(dict):
             self.clear()
         bare = token.lower().strip(_MARKS)
         if bare.isalpha() and not _REPEATED.search(bare):  # a plain word, as most are
-            value = self.of_word(bare)
+            value = self.of_word(bare) if bare[:4] in self.heads else 0.0
         else:
             value = max((self.of_word(w) for w in words_of(token, self.model)), default=0.0)
         self[token] = value
@@ -291,7 +310,8 @@ class _Scores(dict):
         tokens = text.split() if text else []
         weights = np.fromiter(map(self.__getitem__, tokens), np.float64, len(tokens))
         hits = weights[weights > 0].tolist()
-        if text:
+        ones = np.fromiter(map(len, tokens), np.int64, len(tokens)) == 1
+        if (ones[2:] & ones[1:-1] & ones[:-2]).any():  # else there are no spaced runs
             hits += [x for x in map(self.of_word, spaced(text, self.model)) if x > 0]
         n = len(hits)
         return [1.0, float(n > 0), float(n > 1), min(n, 4) / 4, min(sum(hits), 24.0) / 24, max(hits, default=0.0) / 8]
