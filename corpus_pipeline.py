@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from typeweave.llm import copies, decontam, mixing, pii, toxicity
-from typeweave.llm.common import free_name, table
+from typeweave.llm.common import free_name, small_batches, table
 from typeweave.llm.queries import PII_KEY, TOXIC_FROM, learned_labels
 from typeweave.operators.fixpoint import written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below the threshold; null and empty texts stay, and all without labels to learn from."""
+    small_batches(spark)
     model = toxicity.fit(docs, learned_labels(spark, sf_dir))
     if model.chars is None:
         return docs
@@ -26,11 +27,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     SimHash links within two bits, over shingles of five words, come first; an exact search for what
     they miss follows.  All links are verified: a Jaccard similarity of 0.8 or more.
     """
+    small_batches(spark)
     return copies.one_of_each(docs, shingle=5, similarity=0.8)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain no benchmark item; rows are told apart by key and text."""
+    small_batches(spark)
     mark, other = free_name("mark", docs.columns), free_name("found_mark", docs.columns)
     marked = docs.withColumn(mark, F.xxhash64("doc_id", "text"))
     found = decontam.contained_items(marked, table(spark, sf_dir, "benchmark"), key=mark).select(F.col("doc_id").alias(other)).distinct()

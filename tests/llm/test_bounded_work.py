@@ -1,6 +1,10 @@
+import corpus_pipeline
 import numpy as np
+import pyarrow as pa
+from tests.llm.test_text_operators import docs_of
 
 from typeweave.llm import toxicity
+from typeweave.llm.common import TEXTS
 
 
 def some_model(seed=2):
@@ -38,3 +42,21 @@ def test_quick_ways_change_no_score():
         words += [x for x in (max(lexicon.get(f, 0.0) for f in toxicity.features_of(w)) for w in toxicity.spaced(text or "", model)) if x > 0]
         n = len(words)
         assert scores.text(text) == [1.0, float(n > 0), float(n > 1), min(n, 4) / 4, min(sum(words), 24.0) / 24, max(words, default=0.0) / 8], text
+
+
+def test_pipeline_hands_workers_few_texts_at_once(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    docs = docs_of(spark, [(1, "one text", "en", "a"), (2, "other words", "en", "a")])
+
+    def largest(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([max(b.num_rows for b in batches)], pa.int64())], ["n"])
+
+    before = spark.conf.get(name)
+    try:
+        assert corpus_pipeline.drop_near_duplicates(spark, docs, "").count() == 2
+        assert spark.range(5 * TEXTS).coalesce(1).mapInArrow(largest, "n long").first()["n"] <= TEXTS
+        spark.conf.set(name, "7")
+        assert corpus_pipeline.drop_near_duplicates(spark, docs, "").count() == 2
+        assert spark.conf.get(name) == "7"
+    finally:
+        spark.conf.set(name, before)

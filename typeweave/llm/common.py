@@ -10,12 +10,25 @@ from typeweave.sources.package import ship
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Texts that a Python worker is handed at once in the pipeline.
+TEXTS = 1_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession, rows: int = TEXTS) -> None:
+    """Let Arrow hand Python workers so many rows at once, at most; a smaller number that is set already stays.
+
+    Spark's 10,000 whole texts are held several times over: by the JVM outside
+    its heap, and by every worker of an executor.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def crc_mod(column: str, n: int) -> Column:
     """crc32 of a column's decimal text (null: of the empty text, which is 0), modulo n."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n

@@ -140,6 +140,11 @@ class CharModel:
             found = self.memo[context, c] = math.log(self.p(context, c))
         return found
 
+    def forget(self) -> None:
+        """Drop what is remembered; a worker keeps its models, and later steps need the memory."""
+        for known in (*self.lower, self.memo, self.readings):
+            known.clear()
+
     def __reduce__(self):
         return CharModel, (self.counts, self.total, self.kinds)
 
@@ -500,5 +505,7 @@ def score_texts(docs: DataFrame, model: Model, *, text: str = "text", score: str
         for batch in batches:
             x = np.array([scorer.text(t.as_py()) for t in batch.column(place)], dtype=float).reshape(batch.num_rows, 6)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-x @ weights)))], [*batch.schema.names, score])
+        if scorer.model is not None:
+            scorer.model.forget()
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(score, DoubleType())]))
