@@ -1,10 +1,12 @@
 import itertools
+import os
 import random
 
 import corpus_pipeline
 from tests.llm.test_text_operators import docs_of
 
 from typeweave.llm import copies
+from typeweave.operators.fixpoint import scratch_dir
 
 
 def brute_copies(rows, size=5, similarity=0.8):
@@ -69,3 +71,33 @@ def test_pipeline_drops_near_copies(spark):
             docs = stage(spark, docs, "")
     kept = {r["doc_id"] for r in docs.collect()}
     assert kept == {i for i, top in brute_copies(rows).items() if i == top}
+
+
+def test_a_pair_meets_once(spark, tmp_path, monkeypatch):
+    rng, real = random.Random(8), copies._crossing
+    base = [f"b{i}" for i in range(1500)]
+    other = [f"o{i}" if i % 40 == 0 else w for i, w in enumerate(base)]  # alike in most shingles, not in enough of them
+    rows = [(i, " ".join(edited(rng, (base, other)[i % 2], 1))) for i in range(30)]
+
+    def crossing(similarity):
+        def run(batches):
+            for batch in real(similarity)(batches):
+                with open(tmp_path / str(os.getpid()), "a") as out:
+                    out.writelines(f"{a} {b}\n" for a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+                yield batch
+
+        return run
+
+    monkeypatch.setattr(copies, "_crossing", crossing)
+    monkeypatch.setattr(copies, "COMMON", 1_000)  # no order of shingles that drops pairs by the place where they meet
+    got = {r["doc_id"]: r["component_id"] for r in copies.near_copies(docs_of(spark, [(i, t, "en", "a") for i, t in rows])).collect()}
+    assert got == brute_copies(rows)
+    met = [line for path in tmp_path.iterdir() for line in path.read_text().splitlines()]
+    assert met and len(met) == len(set(met))
+
+
+def test_near_dedup_leaves_no_tables_of_its_search(spark):
+    before = set(os.listdir(scratch := scratch_dir(spark)))
+    copies.one_of_each(docs_of(spark, [(i, t, "en", "a") for i, t in corpus(6)])).count()
+    left = {name.split("-", 1)[1] for name in set(os.listdir(scratch)) - before}
+    assert left <= {"dropped", "edges", "stars"}, left
