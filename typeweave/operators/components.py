@@ -7,6 +7,8 @@ neighbour ("large star") and then each node's smaller neighbours on their
 minimum ("small star").  The rounds needed grow with the logarithm of the
 longest path, and a hub never has to sit in one task: per-node minima are
 algebraic aggregates, written first so that AQE can split the joins that use them.
+These joins are merge joins by hint: a table of ids takes so little room on disk
+that Spark would send millions of rows through the driver as a broadcast.
 """
 
 from __future__ import annotations
@@ -64,7 +66,7 @@ def _settled(links: DataFrame) -> bool:
 def _hang(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Each (u, v) with the minimum of u's neighbourhood, u included; and the table of minima, written."""
     least = written(edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
-    return edges.join(least, "u"), least
+    return edges.join(least.hint("merge"), "u"), least
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", *, max_rounds: int = 60) -> DataFrame:
@@ -94,5 +96,5 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", *
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     stars = links.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    roots = links.select(F.col("v").alias("node")).unionByName(loops.join(stars, "node", "left_anti")).distinct()
+    roots = links.select(F.col("v").alias("node")).unionByName(loops.join(stars.hint("merge"), "node", "left_anti")).distinct()
     return stars.unionByName(roots.select("node", F.col("node").alias("component")))
