@@ -178,6 +178,11 @@ def part_groups(spark, d):
     return connected_components(edges)
 
 
+def kinded_groups(spark, d):
+    kinds = table(spark, d, "part").select(F.col("p_partkey").alias("node"), "p_type")
+    return part_groups(spark, d).join(kinds.hint("merge"), "node")  # all parts: not for a broadcast
+
+
 @query("q11_components", WALK + "SELECT p_partkey AS node, root AS component FROM ends")
 def q11(spark, d):
     return part_groups(spark, d)
@@ -190,8 +195,7 @@ def q11(spark, d):
 FROM ends JOIN part USING (p_partkey) GROUP BY root""",
 )
 def q12(spark, d):
-    kinds = table(spark, d, "part").select(F.col("p_partkey").alias("node"), "p_type")
-    return dedupe.primaries(part_groups(spark, d).join(kinds, "node"), F.col("p_type") == "PROMO").withColumnRenamed("primary", "primary_id")
+    return dedupe.primaries(kinded_groups(spark, d), F.col("p_type") == "PROMO").withColumnRenamed("primary", "primary_id")
 
 
 @query(
@@ -199,8 +203,7 @@ def q12(spark, d):
     WALK + "SELECT root AS goff, 'two primitives' AS rule, count(*)::VARCHAR AS detail FROM ends JOIN part USING (p_partkey) WHERE p_type = 'PROMO' GROUP BY root HAVING count(*) > 1",
 )
 def q12_audit(spark, d):
-    kinds = table(spark, d, "part").select(F.col("p_partkey").alias("node"), "p_type")
-    return dedupe.two_primitives(part_groups(spark, d).join(kinds, "node"), F.col("p_type") == "PROMO")
+    return dedupe.two_primitives(kinded_groups(spark, d), F.col("p_type") == "PROMO")
 
 
 SWEEP = f"""WITH RECURSIVE link AS ({LINK}), alive AS (
