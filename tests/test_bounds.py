@@ -1,6 +1,10 @@
 """What a step holds at once does not grow with the tables."""
 
+import random
+
+import pyarrow as pa
 import pytest
+from tests.test_graph import brute_components
 
 from typeweave.operators import components
 from typeweave.plans import catalog
@@ -17,3 +21,15 @@ def test_components_broadcast_no_table(spark, sf, name, monkeypatch):
     monkeypatch.setattr(components, "_contracted", lambda links, number: real(links, "stars"))  # so that rounds are needed
     plans.append(executed(catalog.queries()[name](spark, sf)))
     assert len(plans) > 4 and not any("Broadcast" in p for p in plans)
+
+
+def test_a_task_of_many_edges_contracts_them_in_blocks(monkeypatch):
+    monkeypatch.setattr(components, "LOCAL", 50)
+    rng, taken = random.Random(5), []
+    edges = [(x, rng.randrange(x)) for x in range(1, 1000)]
+    batches = [pa.record_batch({"u": [u for u, _ in edges[i : i + 20]], "v": [v for _, v in edges[i : i + 20]]}) for i in range(0, len(edges), 20)]
+    stars = []
+    for out in components._stars(taken.append(b) or b for b in batches):
+        assert out.num_rows <= 70 and len(taken) * 20 - len(stars) <= 90  # what was read is handed on soon
+        stars += zip(*out.to_pydict().values(), strict=True)
+    assert brute_components(stars) == brute_components(edges)

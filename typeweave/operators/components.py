@@ -1,7 +1,7 @@
 """Connected components over an edge table, by alternating star contractions.
 
 Before the first round and after each, every task contracts the edges that it
-holds, some hundred thousand, to stars of their own; a small graph is then done.
+holds, some hundred thousand at a time, to stars of their own; a small graph is then done.
 Every round re-hangs each node's larger neighbours on the node's smallest
 neighbour ("large star") and then each node's smaller neighbours on their
 minimum ("small star").  The rounds needed grow with the logarithm of the
@@ -22,12 +22,15 @@ from pyspark.sql import functions as F
 from typeweave.operators.fixpoint import discard, written
 from typeweave.sources.package import ship
 
-#: Edges that a task contracts by itself, about.
+#: Edges that a task contracts by itself, and nodes that its worker remembers, about.
 LOCAL = 400_000
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of the (u, v) of a task: each node but the least of its component, with that one."""
+    """Of the (u, v) of a task: each node but the least of its component, with that one.
+
+    A task of more edges than it may hold contracts block by block, which leaves more to the rounds.
+    """
     above: dict = {}
 
     def top(x):
@@ -36,6 +39,13 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x = up
         return x
 
+    def block(schema):
+        nodes = list(above)
+        for at in range(0, len(nodes), 50_000):
+            part = nodes[at : at + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part, schema.field(0).type), pa.array([top(x) for x in part], schema.field(1).type)], ["u", "v"])
+        above.clear()
+
     schema = None
     for batch in batches:
         schema = batch.schema
@@ -43,11 +53,10 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a, b = top(u), top(v)
             if a != b:
                 above[max(a, b)] = min(a, b)
+        if len(above) >= LOCAL:
+            yield from block(schema)
     if above:
-        nodes = list(above)
-        for at in range(0, len(nodes), 50_000):
-            part = nodes[at : at + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part, schema.field(0).type), pa.array([top(x) for x in part], schema.field(1).type)], ["u", "v"])
+        yield from block(schema)
 
 
 def _contracted(links: DataFrame, number: int) -> DataFrame:
