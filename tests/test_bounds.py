@@ -4,10 +4,11 @@ import random
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tests.test_graph import brute_components
 
-from typeweave.operators import components
-from typeweave.plans import catalog
+from typeweave.operators import components, fixpoint, load
+from typeweave.plans import catalog, loaders
 
 
 def executed(df):
@@ -33,3 +34,17 @@ def test_a_task_of_many_edges_contracts_them_in_blocks(monkeypatch):
         assert out.num_rows <= 70 and len(taken) * 20 - len(stars) <= 90  # what was read is handed on soon
         stars += zip(*out.to_pydict().values(), strict=True)
     assert brute_components(stars) == brute_components(edges)
+
+
+def tasks(df):
+    """Tasks that have rows of df."""
+    return df.select(F.spark_partition_id().alias("p")).distinct().count()
+
+
+def test_members_are_dealt_out_by_their_number(spark, monkeypatch):
+    die = loaders.entries(spark.range(400), "structure_type", goff="id")
+    die = die.unionByName(loaders.entries(spark.range(4000), "member", goff=F.col("id") + 1000, parent=F.col("id") % 400, ord=F.col("id").cast("int"), member_loc="id", type_ref="id"))
+    monkeypatch.setattr(fixpoint, "ROWS", 200)
+    found = load.load_compounds(die, load.Config())
+    assert 15 <= tasks(found) <= 20
+    assert found.select("goff", F.size("members").alias("n")).distinct().agg(F.count("*"), F.min("n"), F.max("n")).first()[:] == (400, 10, 10)

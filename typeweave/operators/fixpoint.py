@@ -9,6 +9,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows that a task sorts or gathers at once where their number is known, about.
+ROWS = 250_000
+
 _OWN: dict[str, str] = {}
 _SCRATCH: set[str] = set()
 
@@ -64,6 +67,15 @@ def discard(*tables: DataFrame) -> None:
             folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def spread(df: DataFrame, number: int, *keys: str) -> DataFrame:
+    """df dealt out by keys to as many tasks as `number` rows need, so that a task's memory doesn't grow with the table.
+
+    Steps by these keys that follow need no other exchange; where Spark deals out itself, a task may
+    get all that fits its advisory size, compressed, and each sort of the stage holds that.
+    """
+    return df.repartition(-(-max(number, 1) // ROWS), *keys)
+
+
 def iterate(state: DataFrame, step: Callable[[DataFrame], DataFrame], measure: Callable[[DataFrame], object], *, max_rounds: int, what: str) -> DataFrame:
     """Apply `step` until `measure` (a few scalars, computed by Spark) repeats; more than `max_rounds` is an error.
 

@@ -15,11 +15,13 @@ from pyspark.sql import functions as F
 from typeweave.functions import tokens as T
 from typeweave.functions.names import fill_param_names, untemplated
 from typeweave.functions.prims import PRIM_ID, decode_primitives, primitive_table
+from typeweave.operators.fixpoint import spread
 from typeweave.operators.layout import dedupe_by_type, drop_empty_bases, merge_bitfields, rewrite_vfptr
 from typeweave.operators.namespace import TYPE_TAGS
 from typeweave.operators.resolve import fallback
 
 VOID = PRIM_ID["void"]
+MEMBERS = ["member", "inheritance"]
 TYPES = "cu_offset long, goff long, kind string, name string, target long, byte_size long, base_goff long, tree array<struct<op:string,ref:bigint,n:int>>"
 
 
@@ -176,11 +178,16 @@ def template_args(die: DataFrame) -> DataFrame:
     return flat.groupBy(F.col("parent").alias("goff")).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "inner", arg.alias("a")))), lambda s: s["a"]).alias("template_args"))
 
 
-def members_of(die: DataFrame, config: Config, *, union: bool = False) -> DataFrame:
-    """(goff, ord, offset, name, type_ref, is_base, is_vfptr, bits) of structs, or of unions, cleaned up."""
+def members_of(die: DataFrame, config: Config, *, union: bool = False, number: int | None = None) -> DataFrame:
+    """(goff, ord, offset, name, type_ref, is_base, is_vfptr, bits) of structs, or of unions, cleaned up.
+
+    number: of all members, if it is known.
+    """
     tags = ["union_type"] if union else ["structure_type", "class_type"]
     owner = die.where(F.col("tag").isin(*tags)).select(F.col("goff").alias("owner"))
-    raw = _children(die, ["member", "inheritance"]).where(~F.coalesce("external", F.lit(False))).join(owner, F.col("parent") == F.col("owner"))
+    children = _children(die, MEMBERS)
+    number = children.count() if number is None else number
+    raw = spread(children, number, "parent").where(~F.coalesce("external", F.lit(False))).join(spread(owner, number, "owner"), F.col("parent") == F.col("owner"))
     vfptr, _ = rewrite_vfptr(F.col("name"), F.coalesce("member_loc", F.lit(0)), config.vfptr_pattern)
     rows = raw.select(
         F.col("owner").alias("goff"),
@@ -203,14 +210,15 @@ def members_of(die: DataFrame, config: Config, *, union: bool = False) -> DataFr
 def load_compounds(die: DataFrame, config: Config) -> DataFrame:
     """Structs and unions with members ordered by (offset, is_base), virtual tables and template arguments."""
     own = die.where("tag in ('structure_type', 'class_type', 'union_type')")
-    every = members_of(die, config).unionByName(members_of(die, config, union=True))
+    number = _children(die, MEMBERS).count()
+    every = spread(members_of(die, config, number=number).unionByName(members_of(die, config, union=True, number=number)), number, "goff")
     special = F.when(F.col("is_base"), "base").when(F.col("is_vfptr"), "vfptr").when(F.col("is_bitfield"), "bitfield")
     member = F.struct("offset", "name", T.base(F.col("type_ref")).alias("ty"), special.alias("special"), F.col("bits").cast("int").alias("bf_size"))
     listed = every.groupBy("goff").agg(F.transform(F.array_sort(F.collect_list(F.struct("offset", F.col("is_base").cast("int").alias("b"), "ord", member.alias("m")))), lambda s: s["m"]).alias("members"))
     virtual = die.where("tag = 'subprogram'").withColumn("idx", vtable_index(F.col("virtuality"), F.col("vtable_idx"))).where("idx is not null")
     sigs = signatures(die, virtual).select(F.col("goff").alias("f"), F.transform("types", lambda r: F.array(F.struct(F.lit("base").alias("op"), r.alias("ref"), F.lit(None).cast("int").alias("n")))).alias("types"))
     entries = virtual.join(sigs, F.col("goff") == F.col("f")).groupBy(F.col("parent").alias("v")).agg(F.array_sort(F.collect_list(F.struct("idx", "name", "types"))).alias("vtable"))
-    both = own.join(listed.withColumnRenamed("goff", "m"), F.col("goff") == F.col("m"), "left").join(entries, F.col("goff") == F.col("v"), "left")
+    both = spread(own, number, "goff").join(listed.withColumnRenamed("goff", "m"), F.col("goff") == F.col("m"), "left").join(entries, F.col("goff") == F.col("v"), "left")
     both = both.join(template_args(die).withColumnRenamed("goff", "t"), F.col("goff") == F.col("t"), "left")
     what = F.when(F.col("tag") == "union_type", "union").otherwise("struct")
     decl = F.coalesce("declaration", F.lit(False))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from typeweave.functions import tokens as T
 from typeweave.functions.prims import PRIM_ID
 from typeweave.operators import load, merge, namespace, optimize
+from typeweave.operators.fixpoint import spread
 from typeweave.plans import extract
 from typeweave.plans.catalog import query, table
 from typeweave.sources import config
@@ -43,6 +44,7 @@ def lines(spark: SparkSession, d: str) -> DataFrame:
 def unique_lines(spark: SparkSession, d: str) -> DataFrame:
     """One line for each number of an order: that of the smallest part and supplier."""
     rows = lines(spark, d)
+    rows = spread(rows, rows.count(), "l_orderkey")
     first = rows.groupBy("l_orderkey", "l_linenumber").agg(F.min_by(F.struct(*[F.col(c) for c in rows.columns if c not in ("l_orderkey", "l_linenumber")]), F.struct("l_partkey", "l_suppkey", "l_extendedprice")).alias("first"))
     return first.select("l_orderkey", "l_linenumber", "first.*")
 
