@@ -48,3 +48,9 @@ def test_members_are_dealt_out_by_their_number(spark, monkeypatch):
     found = load.load_compounds(die, load.Config())
     assert 15 <= tasks(found) <= 20
     assert found.select("goff", F.size("members").alias("n")).distinct().agg(F.count("*"), F.min("n"), F.max("n")).first()[:] == (400, 10, 10)
+
+
+def test_lines_are_dealt_out_by_their_number(spark, sf, monkeypatch):
+    monkeypatch.setattr(fixpoint, "ROWS", 500)
+    lines, orders = (catalog.table(spark, sf, t).count() for t in ("lineitem", "orders"))
+    assert tasks(catalog.per_order(spark, sf)) == -(-(lines + orders) // 500)

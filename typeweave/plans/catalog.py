@@ -17,6 +17,7 @@ from typeweave.functions import notation
 from typeweave.functions import tokens as T
 from typeweave.operators import dedupe, flatten, gc, layout, merge, namespace, resolve, symbols
 from typeweave.operators.components import connected_components
+from typeweave.operators.fixpoint import spread
 from typeweave.plans.extract import kind_counts
 from typeweave.sources.package import ship
 
@@ -478,7 +479,9 @@ FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey"""
 
 
 def per_order(spark, d):
-    both = table(spark, d, "orders").join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    orders, lines = table(spark, d, "orders"), table(spark, d, "lineitem")
+    number = orders.count() + lines.count()
+    both = spread(orders, number, "o_orderkey").join(spread(lines, number, "l_orderkey"), F.col("o_orderkey") == F.col("l_orderkey"), "left")
     return both.groupBy("o_orderkey").agg(
         F.count("l_orderkey").alias("n"),
         F.count_distinct("l_returnflag").alias("types"),
