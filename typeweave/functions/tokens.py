@@ -14,6 +14,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from typeweave.operators.fixpoint import spread
+
 TREE = "array<struct<op:string,ref:bigint,n:int>>"
 
 
@@ -101,15 +103,19 @@ def explode_refs(df: DataFrame, key: str, tree: str) -> DataFrame:
     return df.select(key, F.explode(refs(F.col(tree))).alias("ref")).distinct()
 
 
-def remap(df: DataFrame, tree: str, mapping: DataFrame, *, key: str, old: str = "goff", new: str = "primary") -> DataFrame:
-    """Every id of a tree column replaced by its representative, by join; `key` identifies rows."""
+def remap(df: DataFrame, tree: str, mapping: DataFrame, *, key: str, old: str = "goff", new: str = "primary", number: int | None = None) -> DataFrame:
+    """Every id of a tree column replaced by its representative, by join; `key` identifies rows.
+
+    number: of tokens, about; tokens are then dealt out by it when trees are built again, and mapping is not broadcast.
+    """
     parts = df.select(key, F.posexplode(tree).alias("pos_", "t_"))
     target = mapping.select(F.col(old).alias("old_"), F.col(new).alias("new_"))
-    found = parts.join(target, F.col("t_.ref") == F.col("old_"), "left")
+    found = parts.join(target if number is None else target.hint("merge"), F.col("t_.ref") == F.col("old_"), "left")
     fixed = F.struct(F.col("t_.op").alias("op"), F.coalesce("new_", F.col("t_.ref")).alias("ref"), F.col("t_.n").alias("n"))
-    built = found.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos_", fixed.alias("t")))).alias("s_"))
+    found = found.select(key, "pos_", fixed.alias("t"))
+    built = (found if number is None else spread(found, number, key)).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos_", "t"))).alias("s_"))
     out = built.select(F.col(key).alias("key_"), F.transform("s_", lambda s: s["t"]).alias("tree_"))
-    return df.join(out, F.col(key) == F.col("key_"), "left").withColumn(tree, F.coalesce("tree_", tree)).drop("key_", "tree_")
+    return (df if number is None else spread(df, number, key)).join(out, F.col(key) == F.col("key_"), "left").withColumn(tree, F.coalesce("tree_", tree)).drop("key_", "tree_")
 
 
 def splice(df: DataFrame, tree: str, replacements: DataFrame, *, key: str, ref: str = "goff", by: str = "tree") -> DataFrame:

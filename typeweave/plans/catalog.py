@@ -545,7 +545,7 @@ def q38(spark, d):
 
 def order_trees(spark, d):
     lines = table(spark, d, "lineitem")
-    made = layout.ordered_members(lines, group="l_orderkey", order=["l_linenumber", "l_partkey", "l_suppkey"], value=F.col("l_partkey"))
+    made = layout.ordered_members(spread(lines, lines.count(), "l_orderkey"), group="l_orderkey", order=["l_linenumber", "l_partkey", "l_suppkey"], value=F.col("l_partkey"))
     tokens = F.transform("members", lambda r: F.struct(F.lit("base").alias("op"), r.alias("ref"), F.lit(None).cast("int").alias("n")))
     return made.select("l_orderkey", F.concat(tokens, F.array(T.token("sub", None, F.size("members")))).alias("tree"))
 
@@ -558,7 +558,8 @@ FROM lineitem JOIN (SELECT p_partkey, min(p_partkey) OVER (PARTITION BY p_name)
 def q40(spark, d):
     rows = table(spark, d, "part").select(F.col("p_partkey").alias("goff"), "p_name")
     mapping = dedupe.content_dedupe(rows)[1]
-    return T.remap(order_trees(spark, d), "tree", mapping, key="l_orderkey").select("l_orderkey", F.array_join(T.refs(F.col("tree")), ",").alias("ids"))
+    number = table(spark, d, "lineitem").count()  # of ids; each order has one token more
+    return T.remap(order_trees(spark, d), "tree", mapping, key="l_orderkey", number=number).select("l_orderkey", F.array_join(T.refs(F.col("tree")), ",").alias("ids"))
 
 
 @query("q40_reference_extraction", "SELECT DISTINCT l_orderkey, l_partkey AS ref FROM lineitem")
